@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import byte_bpe, license_scan, line_dedup, minhash, span_dedup, url_filter, warc
+from . import additive_ann, byte_bpe, decontaminate, language_id, license_scan, line_dedup, minhash, span_dedup, url_filter, warc
 from .common import scratch_path
 
 TOKENIZER = "byte_bpe_multi_50k.tiktoken"
@@ -26,11 +26,23 @@ def vocabulary(name: str = TOKENIZER) -> tuple[dict[bytes, int], str]:
     return byte_bpe.read_ranks(public_tokenizers.path(name)), public_tokenizers.PATTERN
 
 
+def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    found = language_id.identify(docs, language_id.fit(docs), host_col="source")
+    return found.select("doc_id", "language", "confidence", "declared", "n_grams", "accepted")
+
+
 def op2_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = license_scan.scan(table(spark, sf_dir, "documents"))
     return found.select("doc_id", "n_words", "n_base", "first_word", "last_word", "base_labels", "labels", "score")
 
 
+def op3_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = decontaminate.annotate(table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "benchmark"))
+    rows = found.select("doc_id", F.explode("found").alias("f"))
+    return rows.select("doc_id", "f.item_id", "f.segments", "f.share", "f.edits")
+
+
 def op4_span_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     left = span_dedup.dedup(table(spark, sf_dir, "documents"))
     return left.select("doc_id", "n_sentences", "n_removed", "removed", "text")
@@ -41,6 +53,10 @@ def op5_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return done.select("doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
 
 
+def op6_additive_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return additive_ann.nearest(table(spark, sf_dir, "embeddings"))
+
+
 def op7_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     weights = url_filter.fit(url_filter.labelled(spark))
     return url_filter.judge(table(spark, sf_dir, "pages"), URL_RULES, weights).select("page_id", "host", "path", "rule", "verdict", "score")
