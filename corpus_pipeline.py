@@ -5,13 +5,19 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm import byte_bpe, line_dedup, minhash
-from tessera.llm.common import written
+from tessera.llm import byte_bpe, decontaminate, language_id, line_dedup, minhash
+from tessera.llm.common import row_key, written
 from tessera.llm.queries import vocabulary
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
 
+def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents of no known language go."""
+    found = language_id.identify(docs, language_id.fit(docs), host_col="source").where("accepted").select("_k1", "_k2")
+    return row_key(docs, "doc_id", "text").join(written(found, "accepted"), ["_k1", "_k2"], "left_semi").select(COLUMNS)
+
+
 def line_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Windows of three lines that stand at an earlier place too are taken out of the texts."""
     return line_dedup.dedup(docs).withColumn("n_chars", F.length("text").cast("long")).select(COLUMNS)
@@ -22,13 +28,18 @@ def near_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return minhash.dedup(docs, words=5, percent=80).select(COLUMNS)
 
 
+def benchmark_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that hold a part of a benchmark item go."""
+    return decontaminate.decontaminate(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet")).select(COLUMNS)
+
+
 def token_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Every text becomes ids, which are decoded again."""
     done = byte_bpe.round_trip(docs.select("doc_id", "text"), *vocabulary())
     return done.select("doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
 
 
-STAGES = [("line_dedup", line_stage), ("minhash", near_stage), ("byte_bpe", token_stage)]
+STAGES = [("language_id", language_stage), ("line_dedup", line_stage), ("minhash", near_stage), ("decontaminate", benchmark_stage), ("byte_bpe", token_stage)]
 ORACLE_SQL = None
 
 
