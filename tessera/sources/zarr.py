@@ -241,6 +241,8 @@ def open_raster(spark: SparkSession, path: str, variables: list[str] | None = No
 
     arrays = {}
     for f in system.get_file_info(fs.FileSelector(at)):
+        if f.type != fs.FileType.Directory:
+            continue
         doc = json.loads(_get(f"{path}/{f.base_name}/zarr.json") or b"null")
         if doc and doc["node_type"] == "array":
             arrays[f.base_name] = doc
