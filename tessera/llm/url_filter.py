@@ -106,7 +106,7 @@ def score(url: Column, weights: list[float], sizes: tuple[int, ...] = SIZES) ->
     return 1 / (1 + F.exp(-(total / F.greatest(F.sqrt(square), F.lit(1.0)) + F.lit(weights[-1]))))
 
 
-def judge(pages: DataFrame, rules: list[tuple[str, str, str]], weights: list[float], url_col: str = "url", threshold: float = 0.5) -> DataFrame:
+def judge(pages: DataFrame, rules: list[tuple[str, str, str]], weights: list[float], url_col: str = "url", threshold: float = 0.7) -> DataFrame:
     """Adds ``host, path, rule, score, verdict``.
 
     A rule is (verdict, host, path): it fits its host and all subdomains if the path starts with the rule's;
