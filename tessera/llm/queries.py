@@ -80,11 +80,8 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {k: v for k, v in globals().items() if k.startswith("op") and callable(v)}
 
 
-_WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
-
-
 def oracle_sql() -> dict[str, str]:
-    return {"op8_warc": OP8, "op9_line_dedup": OP9}
+    return {"op8_warc": OP8, "op9_line_dedup": OP9, "op10_minhash": OP10}
 
 
 OP8 = """
@@ -110,3 +107,15 @@ SELECT d.doc_id, CAST(CASE WHEN coalesce(d.text, '') = '' THEN 0 ELSE len(d.l) E
          coalesce(array_to_string([d.l[i + 1] FOR i IN range(0, len(d.l)) IF NOT list_contains(k.gone, i)], chr(10)), '') END AS text
 FROM d LEFT JOIN k ON d.doc_id = k.doc_id
 """
+
+OP10 = """
+WITH RECURSIVE t AS (SELECT doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\\x20\\x09-\\x0D]+'), lambda x: x <> '') AS w FROM documents),
+     s AS (SELECT doc_id, CASE WHEN len(w) >= 3 THEN list_distinct([w[i] || ' ' || w[i + 1] || ' ' || w[i + 2] FOR i IN range(1, len(w) - 1)])
+                               WHEN len(w) > 0 THEN [array_to_string(w, ' ')] ELSE [] END AS g FROM t),
+     u AS (SELECT doc_id, len(g) AS n, unnest(g) AS x FROM s),
+     p AS (SELECT a.doc_id AS a, b.doc_id AS b, any_value(a.n) AS na, any_value(b.n) AS nb, count(*) AS c FROM u a JOIN u b ON a.x = b.x WHERE a.doc_id <> b.doc_id GROUP BY 1, 2),
+     e AS (SELECT a, b FROM p WHERE 100 * c >= 85 * (na + nb - c)),
+     r(doc_id, c) AS (SELECT doc_id, doc_id FROM documents UNION SELECT e.b, r.c FROM r JOIN e ON e.a = r.doc_id),
+     m AS (SELECT doc_id, min(c) AS component_id FROM r GROUP BY 1)
+SELECT s.doc_id, CAST(len(s.g) AS BIGINT) AS n_shingles, m.component_id, m.component_id = s.doc_id AS kept FROM s JOIN m ON s.doc_id = m.doc_id
+"""
