@@ -9,28 +9,29 @@ from tessera.llm import byte_bpe, decontaminate, language_id, line_dedup, minhas
 from tessera.llm.common import row_key, written
 from tessera.llm.queries import vocabulary
 
-COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
-
 
 def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents of no known language go."""
     found = language_id.identify(docs, language_id.fit(docs), host_col="source").where("accepted").select("_k1", "_k2")
-    return row_key(docs, "doc_id", "text").join(written(found, "accepted"), ["_k1", "_k2"], "left_semi").select(COLUMNS)
+    return row_key(docs, "doc_id", "text").join(written(found, "accepted"), ["_k1", "_k2"], "left_semi").select(docs.columns)
 
 
 def line_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Windows of three lines that stand at an earlier place too are taken out of the texts."""
-    return line_dedup.dedup(docs).withColumn("n_chars", F.length("text").cast("long")).select(COLUMNS)
+    left = line_dedup.dedup(docs)
+    if "n_chars" in docs.columns:
+        left = left.withColumn("n_chars", F.length("text").cast("long"))
+    return left.select(docs.columns)
 
 
 def near_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near duplicates stays (five-word shingles, similarity of 0.8 or more)."""
-    return minhash.dedup(docs, words=5, percent=80).select(COLUMNS)
+    return minhash.dedup(docs, words=5, percent=80).select(docs.columns)
 
 
 def benchmark_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that hold a part of a benchmark item go."""
-    return decontaminate.decontaminate(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet")).select(COLUMNS)
+    return decontaminate.decontaminate(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet")).select(docs.columns)
 
 
 def token_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -1,0 +1 @@
+"""Scalar functions for display."""

@@ -1,0 +1 @@
+"""Planning: pure arithmetic, no data."""

@@ -1,0 +1 @@
+"""Array stores."""

@@ -1,7 +1,8 @@
 """Zarr v3: pyramids as sharded arrays, and back.
 
-A task writes whole shards (or chunks), so no two tasks touch a file. Inner chunks are compressed with Zstandard and
-lie in a shard in lexicographic (``C``) or Morton order, with an index of offsets and lengths and its CRC-32C at the end.
+A task writes whole shards (or chunks), so no two tasks touch a file. Inner chunks lie in a shard with an index of offsets
+and lengths and its CRC-32C at the end. Two presets: ``web`` (Blosc with Zstandard, bits of floats and bytes of whole
+numbers shuffled, chunks in lexicographic order) and ``zstd`` (plain Zstandard, Morton order).
 Paths are those of ``pyarrow.fs``: local or shared folders, ``s3://``, ``gs://``, ``hdfs://``.
 """
 
@@ -11,6 +12,8 @@ import json
 import math
 import struct
 from collections.abc import Iterator
+from dataclasses import dataclass
+from decimal import Decimal
 from functools import cache
 from itertools import product
 from typing import Any
@@ -20,12 +23,15 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
 from ..grid import Raster, Variable
 from ..metadata import jsonable
 from ..store import Pyramid
+from . import blosc
 
 EMPTY = (1 << 64) - 1
+PRESETS = ("web", "zstd")
 SPARK_TYPES = {"float32": T.FloatType(), "float64": T.DoubleType(), "int8": T.ByteType(), "int16": T.ShortType(), "int32": T.IntegerType(), "int64": T.LongType(), "uint8": T.ShortType(), "uint16": T.IntegerType(), "uint32": T.LongType(), "uint64": T.DecimalType(20, 0), "bool": T.BooleanType(), "float16": T.FloatType()}
 
 
@@ -73,17 +79,38 @@ def morton(index: tuple[int, ...]) -> int:
     return sum((n >> bit & 1) << (bit * len(index) + len(index) - 1 - d) for bit in range(24) for d, n in enumerate(index))
 
 
-def encode_shard(block: np.ndarray, chunk: tuple[int, ...], fill: Any, level: int, order: str = "C") -> bytes | None:
-    """A shard's file, or nothing if every chunk is fill. ``block`` has whole chunks."""
+def check_preset(preset: str, level: int) -> None:
+    if preset not in PRESETS:
+        raise ValueError(f"unknown preset {preset!r}; there are {PRESETS}")
+    if isinstance(level, bool) or not isinstance(level, int) or preset == "web" and not 0 <= level <= 9:
+        raise ValueError(f"the compression level of {preset!r} is a whole number" + " from 0 to 9" * (preset == "web"))
+
+
+def press(values: np.ndarray, preset: str, level: int) -> bytes:
+    """A chunk's bytes, compressed."""
+    import zstandard
+
+    data = np.ascontiguousarray(values).tobytes()
+    if preset == "web":
+        return blosc.compress(data, values.dtype.itemsize, level, values.dtype.kind == "f")
+    return zstandard.ZstdCompressor(level=level).compress(data)
+
+
+def unpress(data: bytes, codec: str, size: int) -> bytes:
     import zstandard
 
+    return blosc.decompress(data) if codec == "blosc" else zstandard.ZstdDecompressor().decompress(data, max_output_size=size)
+
+
+def encode_shard(block: np.ndarray, chunk: tuple[int, ...], fill: Any, preset: str, level: int) -> bytes | None:
+    """A shard's file, or nothing if every chunk is fill. ``block`` has whole chunks."""
     counts = tuple(s // c for s, c in zip(block.shape, chunk, strict=True))
     index = np.full((*counts, 2), EMPTY, np.uint64)
-    body, press = bytearray(), zstandard.ZstdCompressor(level=level)
-    for at in sorted(product(*map(range, counts)), key=morton if order == "morton" else None):
+    body = bytearray()
+    for at in sorted(product(*map(range, counts)), key=None if preset == "web" else morton):
         part = block[tuple(slice(i * c, (i + 1) * c) for i, c in zip(at, chunk, strict=True))]
         if not is_fill(part, fill):
-            data = press.compress(np.ascontiguousarray(part).tobytes())
+            data = press(part, preset, level)
             index[at] = len(body), len(data)
             body += data
     if not body:
@@ -92,9 +119,7 @@ def encode_shard(block: np.ndarray, chunk: tuple[int, ...], fill: Any, level: in
     return bytes(body) + tail + struct.pack("<I", crc32c(tail))
 
 
-def decode_shard(data: bytes, shard: tuple[int, ...], chunk: tuple[int, ...], dtype: str, fill: Any) -> np.ndarray:
-    import zstandard
-
+def decode_shard(data: bytes, shard: tuple[int, ...], chunk: tuple[int, ...], dtype: str, fill: Any, codec: str) -> np.ndarray:
     counts = tuple(s // c for s, c in zip(shard, chunk, strict=True))
     size = 16 * math.prod(counts)
     tail = data[-size - 4 : -4]
@@ -104,7 +129,7 @@ def decode_shard(data: bytes, shard: tuple[int, ...], chunk: tuple[int, ...], dt
     for at in np.ndindex(*counts):
         start, n = (int(v) for v in index[at])
         if start != EMPTY:
-            raw = zstandard.ZstdDecompressor().decompress(data[start : start + n], max_output_size=math.prod(chunk) * np.dtype(dtype).itemsize)
+            raw = unpress(data[start : start + n], codec, math.prod(chunk) * np.dtype(dtype).itemsize)
             out[tuple(slice(i * c, (i + 1) * c) for i, c in zip(at, chunk, strict=True))] = np.frombuffer(raw, dtype).reshape(chunk)
     return out
 
@@ -113,12 +138,15 @@ def is_fill(part: np.ndarray, fill: Any) -> bool:
     return bool(np.isnan(part).all()) if isinstance(fill, float) and math.isnan(fill) else bool((part == fill).all())
 
 
-def _codecs(level: int) -> list[dict[str, Any]]:
-    return [{"name": "bytes", "configuration": {"endian": "little"}}, {"name": "zstd", "configuration": {"level": level, "checksum": False}}]
+def _codecs(v: Variable, preset: str, level: int) -> list[dict[str, Any]]:
+    plain = {"name": "bytes", "configuration": {"endian": "little"}}
+    if preset == "web":
+        return [plain, {"name": "blosc", "configuration": {"cname": "zstd", "clevel": level, "shuffle": "bitshuffle" if v.kind == "f" else "shuffle", "typesize": v.itemsize, "blocksize": 0}}]
+    return [plain, {"name": "zstd", "configuration": {"level": level, "checksum": False}}]
 
 
-def array_doc(v: Variable, shape: tuple[int, ...], chunks: tuple[int, ...], shards: tuple[int, ...] | None, attrs: dict[str, Any], level: int) -> dict[str, Any]:
-    codecs = _codecs(level)
+def array_doc(v: Variable, shape: tuple[int, ...], chunks: tuple[int, ...], shards: tuple[int, ...] | None, attrs: dict[str, Any], preset: str, level: int) -> dict[str, Any]:
+    codecs = _codecs(v, preset, level)
     if shards:
         codecs = [{"name": "sharding_indexed", "configuration": {"chunk_shape": list(chunks), "codecs": codecs, "index_codecs": [{"name": "bytes", "configuration": {"endian": "little"}}, {"name": "crc32c"}], "index_location": "end"}}]
     fill = "NaN" if v.kind == "f" else bool(v.fill) if v.kind == "b" else int(v.fill)
@@ -128,8 +156,9 @@ def array_doc(v: Variable, shape: tuple[int, ...], chunks: tuple[int, ...], shar
     }
 
 
-def export(pyramid: Pyramid, path: str, level: int = 3, order: str = "C") -> None:
+def export(pyramid: Pyramid, path: str, preset: str = "web", level: int = 3) -> None:
     """Writes a stored pyramid as a Zarr v3 hierarchy with consolidated metadata."""
+    check_preset(preset, level)
     plan, root = pyramid.plan, path.rstrip("/")
     docs: dict[str, Any] = {}
     for at in plan.levels:
@@ -138,31 +167,25 @@ def export(pyramid: Pyramid, path: str, level: int = 3, order: str = "C") -> Non
         source = {v["name"]: v["attrs"] for v in pyramid.doc["variables"]}
         for v in plan.grid.variables:
             lay = at.layouts[v.name]
-            docs[f"{at.index}/{v.name}"] = array_doc(v, at.shapes[v.name], lay.chunks, lay.shards, source[v.name] | own["arrays"][v.name], level)
-            _export_array(pyramid.level(at.index), v, at.shapes[v.name], lay, pyramid.doc["grid"]["extra"], f"{root}/{at.index}/{v.name}", level, order)
+            docs[f"{at.index}/{v.name}"] = array_doc(v, at.shapes[v.name], lay.chunks, lay.shards, source[v.name] | own["arrays"][v.name], preset, level)
+            _export_array(pyramid.level(at.index), v, at.shapes[v.name], lay, pyramid.doc["grid"]["extra"], f"{root}/{at.index}/{v.name}", preset, level)
         a, _, c, _, e, f = at.transform
         for dim, n, first, step in ((plan.grid.y, at.shape[0], f, e), (plan.grid.x, at.shape[1], c, a)):
             axis = Variable(dim, "float64", (dim,), (n,), False, math.nan, False)
-            docs[f"{at.index}/{dim}"] = array_doc(axis, (n,), (n,), None, own["arrays"][dim], level)
-            _put(f"{root}/{at.index}/{dim}/c/0", _press(first + step * (np.arange(n) + 0.5), level))
+            docs[f"{at.index}/{dim}"] = array_doc(axis, (n,), (n,), None, own["arrays"][dim], preset, level)
+            _put(f"{root}/{at.index}/{dim}/c/0", press(first + step * (np.arange(n) + 0.5), preset, level))
         for dim, values in pyramid.doc["grid"]["extra"].items():
             if values and all(isinstance(x, (int, float)) for x in values):
                 axis = Variable(dim, "float64", (dim,), (len(values),), False, math.nan, False)
-                docs[f"{at.index}/{dim}"] = array_doc(axis, (len(values),), (len(values),), None, {}, level)
-                _put(f"{root}/{at.index}/{dim}/c/0", _press(np.array(values, np.float64), level))
+                docs[f"{at.index}/{dim}"] = array_doc(axis, (len(values),), (len(values),), None, {}, preset, level)
+                _put(f"{root}/{at.index}/{dim}/c/0", press(np.array(values, np.float64), preset, level))
     for name, doc in docs.items():
         _put(f"{root}/{name}/zarr.json", json.dumps(doc).encode())
     whole = {"zarr_format": 3, "node_type": "group", "attributes": pyramid.doc["attrs"], "consolidated_metadata": {"kind": "inline", "must_understand": False, "metadata": docs}}
     _put(f"{root}/zarr.json", json.dumps(whole).encode())
 
 
-def _press(values: np.ndarray, level: int) -> bytes:
-    import zstandard
-
-    return zstandard.ZstdCompressor(level=level).compress(np.ascontiguousarray(values).tobytes())
-
-
-def _export_array(cells: DataFrame, v: Variable, shape: tuple[int, ...], lay, extra: dict[str, list], root: str, level: int, order: str) -> None:
+def _export_array(cells: DataFrame, v: Variable, shape: tuple[int, ...], lay, extra: dict[str, list], root: str, preset: str, level: int) -> None:
     lead = v.dims[:-2]
     for d in lead:  # the place of a value along its dimension
         cells = cells.withColumn(f"_{d}", F.array_position(F.array(*map(F.lit, extra[d])), F.col(d).cast("string") if isinstance(extra[d][0], str) else F.col(d)).cast("int") - 1)
@@ -177,9 +200,9 @@ def _export_array(cells: DataFrame, v: Variable, shape: tuple[int, ...], lay, ex
         block = np.full(unit, v.fill, v.dtype)
         block[tuple(part[f"p{i}"].to_numpy() - key[i] * u for i, u in enumerate(unit))] = part["v"].astype(v.dtype).to_numpy()
         if lay.shards:
-            data = encode_shard(block, lay.chunks, v.fill, level, order)
+            data = encode_shard(block, lay.chunks, v.fill, preset, level)
         else:
-            data = None if is_fill(block, v.fill) else _press(block, level)
+            data = None if is_fill(block, v.fill) else press(block, preset, level)
         if data:
             _put("/".join([root, "c", *map(str, key)]), data)
         return pd.DataFrame({"n": [len(data or b"")]})
@@ -187,48 +210,110 @@ def _export_array(cells: DataFrame, v: Variable, shape: tuple[int, ...], lay, ex
     rows.groupBy(*names).applyInPandas(write, "n long").agg(F.sum("n")).collect()
 
 
+@dataclass(frozen=True)
+class Array:
+    """A stored array: its document, and reading one write unit of it."""
+
+    path: str
+    doc: dict[str, Any]
+
+    @classmethod
+    def open(cls, path: str) -> Array:
+        doc = json.loads(_get(f"{path}/zarr.json") or b"null")
+        if doc is None:
+            raise FileNotFoundError(path)
+        out = cls(path, doc)
+        if bad := [c for c in out.codecs if c not in ("bytes", "zstd", "blosc")]:
+            raise ValueError(f"codecs that aren't supported: {bad}")
+        return out
+
+    @property
+    def sharding(self) -> dict[str, Any] | None:
+        return next((c["configuration"] for c in self.doc["codecs"] if c["name"] == "sharding_indexed"), None)
+
+    @property
+    def codecs(self) -> list[str]:
+        return [c["name"] for c in (self.sharding or self.doc)["codecs"]]
+
+    @property
+    def unit(self) -> tuple[int, ...]:
+        return tuple(self.doc["chunk_grid"]["configuration"]["chunk_shape"])
+
+    @property
+    def counts(self) -> tuple[int, ...]:
+        return tuple(-(-n // u) for n, u in zip(self.doc["shape"], self.unit, strict=True))
+
+    @property
+    def dims(self) -> list[str]:
+        return self.doc.get("dimension_names") or [f"d{i}" for i in range(len(self.unit))]
+
+    @property
+    def fill(self) -> Any:
+        return math.nan if self.doc["fill_value"] == "NaN" else self.doc["fill_value"]
+
+    def schema(self, name: str) -> T.StructType:
+        return T.StructType([*(T.StructField(d, T.LongType()) for d in self.dims), T.StructField(name, SPARK_TYPES[self.doc["data_type"]])])
+
+    def cells(self, n: int, name: str) -> pd.DataFrame | None:
+        """The values of the n-th write unit that aren't fill, with their places."""
+        at, dtype = [int(i) for i in np.unravel_index(n, self.counts)], self.doc["data_type"]
+        if (data := _get("/".join([self.path, "c", *map(str, at)]))) is None:
+            return None
+        codec = "blosc" if "blosc" in self.codecs else "zstd"
+        if self.sharding:
+            block = decode_shard(data, self.unit, tuple(self.sharding["chunk_shape"]), dtype, self.fill, codec)
+        else:
+            block = np.frombuffer(unpress(data, codec, math.prod(self.unit) * np.dtype(dtype).itemsize), dtype).reshape(self.unit)
+        block = block[tuple(slice(0, min(u, s - i * u)) for i, u, s in zip(at, self.unit, self.doc["shape"], strict=True))]
+        real = ~np.isnan(block) if isinstance(self.fill, float) and math.isnan(self.fill) else block != self.fill
+        where = np.nonzero(real)
+        values = [Decimal(int(x)) for x in block[where]] if dtype == "uint64" else block[where].astype(np.float32) if dtype == "float16" else block[where]
+        return pd.DataFrame({**{d: w + i * u for d, w, i, u in zip(self.dims, where, at, self.unit, strict=True)}, name: values})
+
+
 def read_array(spark: SparkSession, path: str, name: str = "value") -> DataFrame:
     """An array's cells: one row for every value that isn't fill; columns are the dimensions' places and ``name``."""
-    doc = json.loads(_get(f"{path}/zarr.json") or b"null")
-    if doc is None:
-        raise FileNotFoundError(path)
-    sharding = next((c["configuration"] for c in doc["codecs"] if c["name"] == "sharding_indexed"), None)
-    unit = tuple(doc["chunk_grid"]["configuration"]["chunk_shape"])
-    inner = tuple(sharding["chunk_shape"]) if sharding else None
-    known = {"bytes", "zstd", "sharding_indexed", "crc32c"}
-    if bad := [c["name"] for c in (sharding["codecs"] if sharding else doc["codecs"]) if c["name"] not in known]:
-        raise ValueError(f"codecs that aren't supported: {bad}")
-    dtype, fill = doc["data_type"], math.nan if doc["fill_value"] == "NaN" else doc["fill_value"]
-    dims = doc.get("dimension_names") or [f"d{i}" for i in range(len(unit))]
-    counts = [-(-n // u) for n, u in zip(doc["shape"], unit, strict=True)]
-    keys = spark.range(math.prod(counts)).repartition(min(math.prod(counts), 1000))
-    kind = SPARK_TYPES[dtype]
-    schema = T.StructType([*(T.StructField(d, T.LongType()) for d in dims), T.StructField(name, kind)])
-    shape = doc["shape"]
+    array = Array.open(path)
+    n = math.prod(array.counts)
 
     def read(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        import zstandard
-
         for frame in frames:
-            for n in frame["id"]:
-                at = np.unravel_index(n, counts)
-                if (data := _get("/".join([path, "c", *map(str, at)]))) is None:
-                    continue
-                if inner:
-                    block = decode_shard(data, unit, inner, dtype, fill)
-                else:
-                    block = np.frombuffer(zstandard.ZstdDecompressor().decompress(data, max_output_size=math.prod(unit) * np.dtype(dtype).itemsize), dtype).reshape(unit)
-                block = block[tuple(slice(0, min(u, s - int(i) * u)) for i, u, s in zip(at, unit, shape, strict=True))]
-                real = ~np.isnan(block) if isinstance(fill, float) and math.isnan(fill) else block != fill
-                where = np.nonzero(real)
-                values = block[where]
-                if dtype == "uint64":
-                    from decimal import Decimal
-
-                    values = [Decimal(int(x)) for x in values]
-                yield pd.DataFrame({**{d: w + int(i) * u for d, w, i, u in zip(dims, where, at, unit, strict=True)}, name: values})
-
-    return keys.mapInPandas(read, schema)
+            for k in frame["id"]:
+                if (found := array.cells(k, name)) is not None:
+                    yield found
+
+    return spark.range(n).repartition(min(n, 1000)).mapInPandas(read, array.schema(name))
+
+
+class ZarrSource(DataSource):
+    """``spark.read.format("zarr").load(path)``: an array's cells; a partition is a write unit. Register it with ``spark.dataSource.register``."""
+
+    @classmethod
+    def name(cls) -> str:
+        return "zarr"
+
+    def _open(self) -> tuple[Array, str]:
+        return Array.open(self.options["path"].rstrip("/")), self.options.get("column", "value")
+
+    def schema(self) -> T.StructType:
+        array, name = self._open()
+        return array.schema(name)
+
+    def reader(self, schema: T.StructType) -> DataSourceReader:
+        return ZarrReader(*self._open())
+
+
+class ZarrReader(DataSourceReader):
+    def __init__(self, array: Array, name: str):
+        self.array, self.name = array, name
+
+    def partitions(self) -> list[InputPartition]:
+        return [InputPartition(k) for k in range(math.prod(self.array.counts))]
+
+    def read(self, partition: InputPartition) -> Iterator[tuple]:
+        found = self.array.cells(partition.value, self.name)
+        if found is not None:
+            yield from zip(*(found[c].tolist() for c in found.columns), strict=True)
 
 
 def open_raster(spark: SparkSession, path: str, variables: list[str] | None = None) -> Raster:

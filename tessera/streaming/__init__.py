@@ -1,0 +1 @@
+"""Streaming: the engine has no streaming operators; ``operators.blocks.halve`` works per micro-batch in ``foreachBatch``."""

@@ -10,7 +10,7 @@ from tessera import cli
 from tessera.grid import Raster
 from tessera.operators import lookup
 from tessera.operators.quantize import bitround
-from tessera.sources import zarr
+from tessera.sources import blosc, zarr
 from tessera.store import Files, group_path, open_pyramid, read_config, render_html, to_pyramid
 from tessera.validate import is_valid, to_df, validate
 
@@ -105,11 +105,11 @@ def test_rounding_at_every_level(spark, tmp_path):
         assert not (v.view(np.uint32) & np.uint32((1 << 18) - 1)).any()
 
 
-@pytest.mark.parametrize("order", ["C", "morton"])
-def test_zarr_round_trip(spark, made, tmp_path, order):
+@pytest.mark.parametrize("preset", ["web", "zstd"])
+def test_zarr_round_trip(spark, made, tmp_path, preset):
     root = str(tmp_path / "out.zarr")
     p = open_pyramid(spark, made.path)
-    zarr.export(p, root, order=order)
+    zarr.export(p, root, preset)
     doc = json.loads((tmp_path / "out.zarr/zarr.json").read_text())
     assert doc["consolidated_metadata"]["metadata"]["0/melt"]["codecs"][0]["name"] == "sharding_indexed"
     for name in ("melt", "mask"):
@@ -120,6 +120,20 @@ def test_zarr_round_trip(spark, made, tmp_path, order):
     assert again.dims == ("time", "y", "x") and again.df.agg({"y": "max"}).first()[0] == -0.5
     with pytest.raises(ValueError):
         zarr.open_raster(spark, f"{root}/1", ["nope"])
+    spark.dataSource.register(zarr.ZarrSource)
+    assert spark.read.format("zarr").option("column", "mask").load(f"{root}/0/mask").count() == len(want)
+    for bad in (("fast", 3), ("web", 10), ("zstd", True)):
+        with pytest.raises(ValueError):
+            zarr.export(p, root, *bad)
+
+
+@pytest.mark.parametrize("bits", [True, False])
+def test_blosc_frames(bits):
+    for n, dtype in ((4096, "float32"), (1001, "float64"), (64, "uint8"), (0, "int16")):
+        data = np.arange(n).astype(dtype).tobytes()
+        for level in (0, 3, 9):
+            assert blosc.decompress(blosc.compress(data, np.dtype(dtype).itemsize, level, bits)) == data
+    assert blosc.bitshuffle(bytes([1, 0, 0, 0, 0, 0, 0, 128]), 1) == bytes([1, 0, 0, 0, 0, 0, 0, 128])
 
 
 def test_checksum():
