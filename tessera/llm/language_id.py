@@ -162,7 +162,7 @@ def identify(df: DataFrame, model: Model, id_col: str = "doc_id", text_col: str
     agree = real.where(F.array_contains(codes, F.col("declared"))).agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.sum(F.element_at("post", F.array_position(codes, F.col("declared")).cast("int"))), F.lit(0.0)).alias("s")).first()
     right = (agree.s + 4.0) / (agree.n + 5.0)
     told = F.transform(F.sequence(F.lit(1), F.lit(size)), lambda k: F.when(~F.array_contains(codes, F.col("declared")) | F.col("declared").isNull(), 0.0).when(k == F.array_position(codes, F.col("declared")), F.lit(float(np.log(right)))).otherwise(F.lit(float(np.log((1 - right) / max(1, size - 1))))))
-    joined = seen.withColumn("salt", F.pmod("_k2", F.lit(salts)).cast("int")).join(written(priors, "priors"), ["host", "salt"], "left")
+    joined = seen.withColumn("salt", F.pmod(F.xxhash64("_k1", "_k2"), F.lit(salts)).cast("int")).join(written(priors, "priors"), ["host", "salt"], "left")
     prior = F.coalesce("prior", overall)
     scores = F.zip_with(F.zip_with("likelihood", prior, lambda a, p: a + F.log(F.greatest(p, F.lit(1e-9)))), told, lambda a, b: a + b)
     out = joined.withColumn("post", _posterior(scores))
