@@ -85,6 +85,17 @@ class Raster:
     #: Dimensions whose coordinate is in a column of another name.
     named: Mapping[str, str] = field(default_factory=dict)
 
+    def plan(self, *, crs: Any = None, fill_values: Mapping[str, Any] | None = None, **options: Any) -> Any:
+        """The pyramid that ``to_pyramid`` would write, without writing it."""
+        from .plans.levels import build_plan
+
+        return build_plan(detect(self, crs, fill_values).grid, **options)
+
+    def to_pyramid(self, path: str, **options: Any) -> Any:
+        from .store import to_pyramid
+
+        return to_pyramid(self, path, **options)
+
 
 #: The names spatial dimensions go by, in order of preference, and the standard names of their coordinates.
 NAMES = (("x", "y"), ("lon", "lat"), ("longitude", "latitude"))

@@ -60,6 +60,12 @@ def test_overwriting(spark, made, tmp_path):
             group_path("p", bad)
 
 
+def test_methods_of_a_raster(spark, tmp_path):
+    r = raster(spark, 10, 10, 1)
+    assert len(r.plan(crs=3031, tile_size=8).levels) == 2
+    assert is_valid(r.to_pyramid(str(tmp_path / "p"), crs=3031, tile_size=8).validation)
+
+
 def test_errors_come_before_writing(spark, tmp_path):
     with pytest.raises(ValueError):
         to_pyramid(raster(spark), str(tmp_path / "no"), crs=3031, keepbits={"mask": 3})
