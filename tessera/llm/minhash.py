@@ -3,8 +3,9 @@
 Two permutations make all signature coordinates: the first deals a shingle's hash to one of ``2**BITS`` places, the
 second, shifted circularly by k, is the k-th coordinate's order of places. Documents with equal sets are one
 node from then on; nodes that share a band are candidates. Of the nodes of a bucket only a star is compared: all
-against one leader. As long as a bucket's nodes are in several components after that, it is compared with other leaders
-and at last, for those that are left, across components in full. Every link is confirmed on the full sets.
+against one leader. As long as a bucket's nodes are in several components after that, it is compared with another leader
+and at last those outside its largest component are compared with all of it, in blocks of bounded size that give
+nothing but links. Every link is confirmed on the full sets.
 
 Defined cases: a null text, or one without words, has an empty set and is linked with nothing; a text of fewer words
 than a shingle is one shingle as a whole; null ids are larger than any other as a component's name (a component of
@@ -18,6 +19,7 @@ from collections.abc import Iterator
 from functools import cache
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -28,7 +30,8 @@ from .components import connected
 
 BITS = 18
 BASE = 0x9E3779B97F4A7C15
-LEADER_ROUNDS = 3
+LEADER_ROUNDS = 2
+BLOCK_SETS, BLOCK_SHINGLES = 1024, 1_000_000
 U = np.uint64
 
 
@@ -152,11 +155,62 @@ def _star(members: DataFrame, turn: int, percent: int) -> DataFrame:
     return met.select(*_pairs("node", "lead")).distinct()
 
 
-def _across(members: DataFrame, percent: int) -> DataFrame:
-    """``a, b``: all pairs of a bucket's members that are in different components."""
-    other = members.select("band", "h", F.col("node").alias("lead"), F.col("n").alias("m"), F.col("label").alias("own"))
-    met = members.join(other, ["band", "h"]).where((F.col("label") < F.col("own")) & _possible(F.col("n"), F.col("m"), percent))
-    return met.select(*_pairs("node", "lead")).distinct()
+def linked_within(nodes: list[bytes], asked: np.ndarray, found: list[np.ndarray], percent: int) -> list[tuple[bytes, bytes]]:
+    """Links of asked sets with all others, as edges to the first node that each is connected with."""
+    size = np.array([len(x) for x in found], np.int64)
+    _, element = np.unique(np.concatenate(found), return_inverse=True)
+    owner = np.repeat(np.arange(len(found)), size)
+    times = np.bincount(element)
+    element_of = np.cumsum(times > 1) - 1  # an element of one set alone adds to no intersection
+    real = times[element] > 1
+    element, owner = element_of[element[real]], owner[real]
+    order = np.argsort(element, kind="stable")
+    element, owner = element[order], owner[order]
+    q, r = np.flatnonzero(asked), np.flatnonzero(~asked)
+    same = np.zeros((len(q), len(r)), np.float32)
+    for at in range(0, int(element[-1]) + 1 if len(element) else 0, 2048):
+        lo, hi = np.searchsorted(element, [at, at + 2048])
+        table = np.zeros((len(found), 2048), np.float32)
+        table[owner[lo:hi], element[lo:hi] - at] = 1
+        same += table[q] @ table[r].T
+    link = 100 * same >= percent * (size[q][:, None] + size[r][None, :] - same)
+    first: dict[bytes, int] = {}
+    name = np.array([first.setdefault(x, i) for i, x in enumerate(nodes)])
+    label, far = np.arange(len(nodes)), len(nodes)
+    while True:
+        old = label.copy()
+        if len(q) and len(r):
+            np.minimum.at(label, name[q], np.where(link, label[name[r]][None, :], far).min(1))
+            np.minimum.at(label, name[r], np.where(link, label[name[q]][:, None], far).min(0))
+        if (old == label).all():
+            break
+    return [(nodes[label[i]], nodes[i]) for i in np.unique(name) if label[i] != i]
+
+
+def _in_blocks(now: DataFrame, own: DataFrame, percent: int) -> DataFrame:
+    """``a, b``: links of the nodes that the leaders' rounds left apart from most of their bucket with all of it.
+
+    Buckets with one leader are one group. In every group the nodes of other components than the largest are asked
+    against all its nodes, in blocks of bounded size; only links leave a block.
+    """
+    order = F.xxhash64("node", F.lit(0), F.lit(0))
+    tops = now.groupBy("band", "h").agg(F.min(F.struct(order.alias("o"), "node")).alias("top")).select("band", "h", F.col("top.node").alias("lead"))
+    group = written(now.join(written(tops, "leaders"), ["band", "h"]).select("lead", "node", "n", "label").distinct(), "groups")
+    parts = group.groupBy("lead", "label").agg(F.count(F.lit(1)).alias("c"), F.sum("n").alias("s"))
+    cut = lambda c, s: F.greatest(F.ceil(c / BLOCK_SETS), F.ceil(s / BLOCK_SHINGLES)).cast("int")
+    most = parts.groupBy("lead").agg(F.max(F.struct("c", "label")).alias("main"), F.max_by("s", F.struct("c", "label")).alias("ms"), F.sum("c").alias("c"), F.sum("s").alias("s"))
+    most = written(most.where(F.col("c") > F.col("main.c")).select("lead", F.col("main.label").alias("main"), cut(F.col("c") - F.col("main.c"), F.col("s") - F.col("ms")).alias("nq"), cut(F.col("c"), F.col("s")).alias("nr")), "sizes")
+    rows = group.join(most, "lead").join(own, "node").select("lead", "node", "label", "main", "nq", "nr", "shingles")
+    upto = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    deal = lambda n: F.pmod(F.xxhash64("node"), F.col(n)).cast("int")
+    asked = rows.where("label <> main").select("lead", deal("nq").alias("qb"), upto("nr").alias("rb"), F.lit(True).alias("asked"), "node", "shingles")
+    others = rows.select("lead", upto("nq").alias("qb"), deal("nr").alias("rb"), F.lit(False).alias("asked"), "node", "shingles")
+
+    def compare(part: pd.DataFrame) -> pd.DataFrame:
+        edges = linked_within([bytes(x) for x in part["node"]], part["asked"].to_numpy(bool), [np.asarray(x) for x in part["shingles"]], percent)
+        return pd.DataFrame(edges, columns=["a", "b"])
+
+    return asked.unionByName(others).groupBy("lead", "qb", "rb").applyInPandas(compare, "a binary, b binary")
 
 
 def _linked(pairs: DataFrame, own: DataFrame, percent: int) -> DataFrame:
@@ -172,9 +226,13 @@ def node_components(members: DataFrame, own: DataFrame, percent: int) -> DataFra
     label = F.col("node").alias("label")
     now, labels, tested = members.select("*", label), None, None
     for turn in range(LEADER_ROUNDS + 1):
-        pairs = _star(now, turn, percent) if turn < LEADER_ROUNDS else _across(now, percent)
-        pairs = written(pairs if tested is None else pairs.join(tested, ["a", "b"], "left_anti"), "pairs")
-        links = written(_linked(pairs, own, percent), "links")
+        if turn < LEADER_ROUNDS:
+            pairs = _star(now, turn, percent)
+            pairs = written(pairs if tested is None else pairs.join(tested, ["a", "b"], "left_anti"), "pairs")
+            tested = pairs if tested is None else tested.unionByName(pairs)
+            links = written(_linked(pairs, own, percent), "links")
+        else:
+            links = written(_in_blocks(now, own, percent).distinct(), "links")
         if labels is None:
             labels = connected(links)
         elif not links.isEmpty():
@@ -185,7 +243,6 @@ def node_components(members: DataFrame, own: DataFrame, percent: int) -> DataFra
             labels = written(labels.unionByName(new).join(merged, "label", "left").select("node", F.coalesce("top", "label").alias("label")), "labels")
         if turn == LEADER_ROUNDS:
             return labels
-        tested = pairs if tested is None else tested.unionByName(pairs)
         # A bucket of two is done; a larger one is not while its nodes are in several components.
         held = members.join(labels, "node", "left").select(*members.columns, F.coalesce("label", "node").alias("label"))
         split = held.groupBy("band", "h").agg(F.min("label").alias("lo"), F.max("label").alias("hi"), F.count(F.lit(1)).alias("size")).where("size > 2 and lo <> hi").select("band", "h")
