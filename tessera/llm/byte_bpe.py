@@ -14,7 +14,7 @@ from __future__ import annotations
 import base64
 import struct
 from collections.abc import Iterator
-from functools import cache
+from functools import lru_cache
 from itertools import islice
 
 import numpy as np
@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
-from .common import batches_by_bytes
+from .common import batches_by_bytes, release_memory
 
 CACHE_ENTRIES = 200_000
 LONG_TEXT = 1_000_000
@@ -182,7 +182,7 @@ class Codec:
         return b"".join(out)
 
 
-@cache
+@lru_cache(1)
 def _codec(model: bytes, vocabulary: tuple[bytes, ...], numbers: tuple[int, ...], pattern: str) -> Codec:
     return Codec(dict(zip(vocabulary, numbers, strict=True)), pattern, model)
 
@@ -198,9 +198,13 @@ def _mapped(df: DataFrame, ranks: dict[bytes, int], pattern: str, source: str, m
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         codec = _codec(*held.value)
-        for part in batches_by_bytes(batches, source, OUT_BYTES // 4):
-            cols = [pa.array(c, k) for c, k in zip(work(codec, part.column(source).to_pylist()), kinds, strict=True)]
-            yield pa.RecordBatch.from_arrays([*(part.column(c) for c in kept), *cols], names=[*kept, *made])
+        try:
+            for part in batches_by_bytes(batches, source, OUT_BYTES // 4):
+                cols = [pa.array(c, k) for c, k in zip(work(codec, part.column(source).to_pylist()), kinds, strict=True)]
+                yield pa.RecordBatch.from_arrays([*(part.column(c) for c in kept), *cols], names=[*kept, *made])
+        finally:
+            codec.cache.clear()
+            release_memory()
 
     return df.mapInArrow(run, schema)
 

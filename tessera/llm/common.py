@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import uuid
 
 import numpy as np
@@ -89,13 +90,26 @@ def mix64(x: np.ndarray) -> np.ndarray:
 
 def batches_by_bytes(batches, text: str, limit: int = 8 << 20):
     """Slices of Arrow batches holding about ``limit`` bytes of the column ``text`` at most (one row at least)."""
-    for batch in batches:
-        if not batch.num_rows:
-            continue
-        size = np.cumsum(np.diff(utf8(batch.column(text))[1]) + 64)
-        start = 0
-        while start < batch.num_rows:
-            base = size[start - 1] if start else 0
-            end = max(start + 1, int(np.searchsorted(size, base + limit, "right")))
-            yield batch.slice(start, end - start)
-            start = end
+    try:
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            size = np.cumsum(np.diff(utf8(batch.column(text))[1]) + 64)
+            start = 0
+            while start < batch.num_rows:
+                base = size[start - 1] if start else 0
+                end = max(start + 1, int(np.searchsorted(size, base + limit, "right")))
+                yield batch.slice(start, end - start)
+                start = end
+            pa.default_memory_pool().release_unused()
+    finally:
+        release_memory()
+
+
+def release_memory() -> None:
+    """Gives freed memory back to the system: an idle Python worker keeps none that others on its executor need."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (OSError, AttributeError):  # another C library
+        pass

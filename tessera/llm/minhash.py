@@ -35,10 +35,14 @@ BLOCK_SETS, BLOCK_SHINGLES = 1024, 1_000_000
 U = np.uint64
 
 
-@cache
-def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    make = lambda b: np.cumprod(np.concatenate([np.ones(1, U), np.full(n, b, U)]))
-    return make(BASE), make(pow(BASE, -1, 1 << 64))
+_held: list[np.ndarray] = []
+
+
+def _powers(n: int) -> list[np.ndarray]:
+    """Powers of the base and of its inverse from 0 to ``n`` at least; the longest that were needed are kept."""
+    if not _held or len(_held[0]) <= n:
+        _held[:] = [np.cumprod(np.concatenate([np.ones(1, U), np.full(n, b, U)])) for b in (BASE, pow(BASE, -1, 1 << 64))]
+    return _held
 
 
 def word_hashes(raw: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
