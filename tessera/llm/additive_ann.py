@@ -41,7 +41,7 @@ def usable(df: DataFrame, id_col: str, vector_col: str) -> DataFrame:
     return rows.where(F.size("v") == (length.d if length else -1))
 
 
-def fit(rows: DataFrame, codebooks: int = 8, words: int = 128, sample: int = 8192, rounds: int = 8, seed: int = 5) -> Codebooks:
+def fit(rows: DataFrame, codebooks: int = 24, words: int = 256, sample: int = 8192, rounds: int = 5, seed: int = 5) -> Codebooks:
     """Residual k-means on the ``sample`` rows of smallest hash."""
     found = rows.orderBy(F.xxhash64("id"), "id").limit(sample).select("v").toPandas()
     if found.empty:
@@ -103,7 +103,7 @@ def index(rows: DataFrame, books: Codebooks, beam: int = 8) -> DataFrame:
     return rows.mapInArrow(run, "id long, v array<double>, codes binary, norm float")
 
 
-def search(indexed: DataFrame, queries: DataFrame, books: Codebooks, k: int = 20, rerank: int = 400, query_block: int = 4096, row_block: int = 32768, measure: str = "ip") -> DataFrame:
+def search(indexed: DataFrame, queries: DataFrame, books: Codebooks, k: int = 20, rerank: int = 1500, query_block: int = 4096, row_block: int = 32768, measure: str = "ip") -> DataFrame:
     """``query_id, rank, vec_id, score``: each query's ``k`` nearest of the rows of ``indexed`` but its own.
 
     ``measure``: ``ip`` (largest inner product) or ``l2`` (smallest distance; the score is its negative square).
