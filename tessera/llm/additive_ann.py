@@ -103,11 +103,31 @@ def index(rows: DataFrame, books: Codebooks, beam: int = 8) -> DataFrame:
     return rows.mapInArrow(run, "id long, v array<double>, codes binary, norm float")
 
 
+def equal(x: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Groups of equal rows by first place: each row's group; of each group the first row and the size; the rows group by group and where each group's begin."""
+    import xxhash
+
+    group, _ = pd.factorize(np.array([xxhash.xxh3_128_digest(r) for r in np.ascontiguousarray(x + 0.0)], object))
+    size = np.bincount(group)
+    members, begin = np.argsort(group, kind="stable"), np.concatenate([[0], np.cumsum(size)])
+    return group, members[begin[:-1]], size, members, begin
+
+
+def largest(values: np.ndarray, n: int) -> np.ndarray:
+    """The places of the ``n`` largest values, in order of place; of those that tie at the last value the first."""
+    if n >= len(values):
+        return np.arange(len(values))
+    cut = np.partition(values, len(values) - n)[len(values) - n]
+    above = np.flatnonzero(values > cut)
+    return np.sort(np.concatenate([above, np.flatnonzero(values == cut)[: n - len(above)]]))
+
+
 def search(indexed: DataFrame, queries: DataFrame, books: Codebooks, k: int = 20, rerank: int = 1500, query_block: int = 4096, row_block: int = 32768, measure: str = "ip") -> DataFrame:
     """``query_id, rank, vec_id, score``: each query's ``k`` nearest of the rows of ``indexed`` but its own.
 
     ``measure``: ``ip`` (largest inner product) or ``l2`` (smallest distance; the score is its negative square).
-    In every block the ``rerank`` best by lookup tables are scored exactly.
+    In every block the ``rerank`` best vectors by lookup tables are scored exactly. Equal vectors of a block are
+    scored once and give all their ids, so that copies neither use up the ``rerank`` nor lose their smallest ids.
     """
     n_rows, n_queries = indexed.count(), queries.count()
     p, q = max(1, -(-n_rows // row_block)), max(1, -(-n_queries // query_block))
@@ -122,29 +142,45 @@ def search(indexed: DataFrame, queries: DataFrame, books: Codebooks, k: int = 20
             rows = rows.sort_values("id", kind="stable")
             words = shared.value.words
             ids, x = rows["id"].to_numpy(), np.array(rows["v"].tolist(), np.float64)
-            codes = np.frombuffer(b"".join(rows["codes"]), np.uint8).reshape(len(rows), -1)
-            norms = rows["norm"].to_numpy(np.float32)
+            # groups of equal vectors, in the order of their smallest ids; members in the order of ids
+            group, first, size, members, begin = equal(x)
+            codes = np.frombuffer(b"".join(rows["codes"]), np.uint8).reshape(len(rows), -1)[first]
+            norms = rows["norm"].to_numpy(np.float32)[first]
+            x = x[first]
             own, y = asked["id"].to_numpy(), np.array(asked["v"].tolist(), np.float64)
-            take = min(rerank, len(ids))
+            own_from, own_to = np.searchsorted(ids, own, "left"), np.searchsorted(ids, own, "right")
             for at in range(0, len(y), 64):
                 part = y[at : at + 64]
                 tables = np.einsum("qd,mwd->mwq", part.astype(np.float32), words)
-                rough = np.zeros((len(ids), len(part)), np.float32)
+                rough = np.zeros((len(first), len(part)), np.float32)
                 for m in range(len(words)):
                     rough += tables[m][codes[:, m]]
                 if measure == "l2":
                     rough = 2 * rough - norms[:, None]
-                rough = rough.T
-                rough[ids[None, :] == own[at : at + 64, None]] = -np.inf
-                best = np.argpartition(-rough, take - 1, axis=1)[:, :take] if take < len(ids) else np.tile(np.arange(len(ids)), (len(part), 1))
+                rough = np.ascontiguousarray(rough.T)
                 for i in range(len(part)):
-                    c = np.sort(best[i])
-                    c = c[ids[c] != own[at + i]]
+                    others = size
+                    mine = group[own_from[at + i] : own_to[at + i]]
+                    if len(mine):
+                        others = size - np.bincount(mine, minlength=len(size))
+                        rough[i, others == 0] = -np.inf
+                    c = largest(rough[i], rerank)
+                    c = c[others[c] > 0]
+                    if not len(c):
+                        continue
                     exact = (x[c] * part[i]).sum(1) if measure == "ip" else -((x[c] - part[i]) ** 2).sum(1)
-                    top = np.lexsort((ids[c], -exact))[:k]
+                    order = np.argsort(-exact, kind="stable")
+                    last = min(int(np.searchsorted(np.cumsum(others[c[order]]), k)), len(c) - 1)
+                    near, score = [], []
+                    for j in np.flatnonzero(exact >= exact[order[last]]).tolist():
+                        m = ids[members[begin[c[j]] : begin[c[j] + 1]]]
+                        near.append(m[m != own[at + i]][:k])
+                        score.append(np.full(len(near[-1]), exact[j]))
+                    near, score = np.concatenate(near), np.concatenate(score)
+                    top = np.lexsort((near, -score))[:k]
                     out["query_id"].append(np.full(len(top), own[at + i]))
-                    out["vec_id"].append(ids[c][top])
-                    out["score"].append(exact[top])
+                    out["vec_id"].append(near[top])
+                    out["score"].append(score[top])
         return pd.DataFrame({a: np.concatenate(b) if b else np.zeros(0) for a, b in out.items()}).astype({"query_id": "int64", "vec_id": "int64", "score": "float64"})
 
     found = left.groupBy("p", "q").cogroup(right.groupBy("p", "q")).applyInPandas(meet, "query_id long, vec_id long, score double")

@@ -53,3 +53,23 @@ def test_decoded_norms():
     codes, norms = additive_ann.encode(books, x)
     decoded = sum(books.words[m][codes[:, m]] for m in range(3))
     assert np.allclose((decoded**2).sum(1), norms, atol=1e-4)
+
+
+def test_copies_give_their_smallest_ids_and_leave_room_for_others(spark):
+    rng = np.random.default_rng(10)
+    hot, x = rng.normal(size=16), rng.normal(size=(600, 16))
+    x[:25] = hot * np.linspace(0.9, 1.1, 25)[:, None]
+    vectors = {i: hot for i in range(10_000, 12_500)} | {20 * i: v for i, v in enumerate(x)}
+    rows = [(i, v.tolist()) for i, v in vectors.items()]
+    rng.shuffle(rows)
+    df = spark.createDataFrame([(int(i), v) for i, v in rows], "vec_id long, embedding array<double>")
+    got = {}
+    for r in additive_ann.nearest(df, rerank=1500).where("query_id >= 10000 or query_id = 480").collect():
+        got.setdefault(r.query_id, {})[r.rank] = r.vec_id
+    ids = np.array(sorted(vectors))
+    every = np.array([vectors[i] for i in ids])
+    for q, near in got.items():
+        exact = (every * vectors[q]).sum(1)
+        want = [int(ids[i]) for i in np.lexsort((ids, -exact)) if ids[i] != q][:20]
+        assert [near[k] for k in range(1, 21)] == want
+    assert len(got) > 100
