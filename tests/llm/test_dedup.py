@@ -1,3 +1,5 @@
+import random
+
 from tessera.llm import line_dedup, span_dedup
 
 PASSAGE = "The first sentence of this passage is here. It goes on for a while with some more words to say. Then a third one comes along and says even more about it. And a fourth to be sure that there are over fifty words in it all told, or nearly."
@@ -67,3 +69,19 @@ def test_spans_of_odd_rows(odd, empty):
     got = span_dedup.dedup(odd.withColumnRenamed("kept", "removed")).collect()
     assert len(got) == odd.count() and {r.doc_id: r.text for r in got}[3] == "   \n \t "
     assert span_dedup.dedup(empty).count() == 0
+
+
+def test_passages_in_unpunctuated_text_go_at_every_offset(spark):
+    rng = random.Random(3)
+    word = lambda k: f"{k}{rng.randrange(10**6)}"
+    passages = [[word("p") for _ in range(n)] for n in (50, 51, 57, 64, 90)] + [["and"] * 50, ["red", "green", "blue"] * 17]
+    rows = []
+    for k, p in enumerate(passages):
+        rows.append((100 * k, " ".join([word("a") for _ in range(40)] + p + [word("b") for _ in range(30)])))
+        rows += [(100 * k + 1 + i, " ".join([word("c") for _ in range(20 + i)] + p + [word("d") for _ in range(25)])) for i in range(16)]
+    got = {r.doc_id: r.text for r in span_dedup.dedup(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    for k, p in enumerate(passages):
+        assert got[100 * k] == rows[17 * k][1] or len(set(p)) < 4
+        for i in range(16):
+            left = got[100 * k + 1 + i].split()
+            assert sum(w in set(p) for w in left) <= max(25, len(p) - 25) and sum(w not in set(p) for w in left) == 45 + i
