@@ -1,13 +1,15 @@
 """Benchmark decontamination by q-gram lemma filtering and banded alignment.
 
 Texts are lower-cased, runs of other characters than letters and digits become one space. A benchmark item is cut
-into segments of ``segment`` bytes (the last one ends with the item; a shorter item is one segment). A segment that
+into overlapping segments of ``segment`` bytes, one every ``STRIDE`` bytes (the last one ends with the item; a shorter item
+is one segment), so that a verbatim part of ``segment + STRIDE - 1`` bytes (55 as set) is found at any offset. A segment that
 aligns to a text with ``e`` edits at most shares ``length - q + 1 - q * e`` q-grams with it at least, all on diagonals
 that are within ``e`` of each other. So the q-grams that a text shares with a segment are counted in bands of diagonals
 that overlap by ``e``; only bands with that many are aligned, by dynamic programming within the band.
 
-Defined cases: a null or empty text, or one shorter than every segment, holds nothing; null or empty items, or those with
-fewer than ``MIN_BYTES`` bytes, are not looked for; repeated items are found each under its id; repeated rows are judged alike; an empty
+Defined cases: a null or empty text, or one shorter than every segment, holds nothing; null or empty items are not looked for;
+items of fewer than ``MIN_BYTES`` bytes are found as whole items between word edges and without edits, those of fewer than
+``Q`` bytes only as the whole of a text; repeated items are found each under its id; repeated rows are judged alike; an empty
 table gives an empty table; columns added replace input columns of the same name. Texts are read whole.
 """
 
@@ -25,8 +27,8 @@ from pyspark.sql import types as T
 from .common import batches_by_bytes, utf8
 
 Q = 8
-SEGMENT, RATE, MIN_BYTES = 72, 0.07, 40
-BLOCK_BYTES = 8 << 20
+SEGMENT, STRIDE, RATE, MIN_BYTES = 48, 8, 0.07, 40
+BLOCK_BYTES = 1 << 20
 SLOTS = 22
 ODD = np.uint64(0x9E3779B97F4A7C15)
 
@@ -84,14 +86,15 @@ def build_index(ids: list[int], texts: list[str], segment: int = SEGMENT, rate:
     for i, (a, b) in enumerate(zip(offsets[:-1].tolist(), offsets[1:].tolist(), strict=True)):
         while b > a and text[b - 1] == 32:
             b -= 1
-        if b - a >= MIN_BYTES:
+        if b > a:
             n = min(segment, b - a)
-            for s in sorted({*range(a, b - n + 1, n), b - n}):
+            for s in sorted({*range(a, b - n + 1, STRIDE), b - n}):
                 starts.append(s), lengths.append(n), owner.append(i)
     starts, lengths = np.array(starts, np.int64), np.array(lengths, np.int64)
     size = np.diff(offsets)
     # an edit budget that leaves the lemma a count above 1
     edits = np.minimum((lengths * rate).astype(np.int64), np.maximum(0, (lengths - Q) // Q - 1))
+    edits[lengths < MIN_BYTES] = 0
     rows = [(grams_of(text[s : s + n]), k) for k, (s, n) in enumerate(zip(starts.tolist(), lengths.tolist(), strict=True))]
     flat = np.concatenate([g for g, _ in rows]) if rows else np.zeros(0, np.uint64)
     owners = np.repeat(np.arange(len(rows)), [len(g) for g, _ in rows]) if rows else np.zeros(0, np.int64)
@@ -129,11 +132,41 @@ def aligned(index: Index, text: np.ndarray, lo: np.ndarray, hi: np.ndarray, low:
     return best, end
 
 
+def as_rows(found: dict[tuple[int, int], int]) -> list[tuple[int, int, int]]:
+    return [(d, s, e) for (d, s), e in sorted(found.items())]
+
+
+def tiny(index: Index, text: np.ndarray, at: np.ndarray) -> dict[tuple[int, int], int]:
+    """The items too short for a q-gram that are the whole of a text."""
+    items: dict[bytes, list[int]] = {}
+    for k in np.flatnonzero(index.lengths < Q).tolist():
+        items.setdefault(index.text[index.starts[k] : index.starts[k] + index.lengths[k]].tobytes(), []).append(k)
+    rows = np.flatnonzero(np.diff(at) <= Q).tolist() if items else ()
+    return {(d, k): 0 for d in rows for k in items.get(text[at[d] : at[d + 1]].tobytes().strip(b" "), ())}
+
+
+def whole(index: Index, text: np.ndarray, at: np.ndarray, doc: np.ndarray, segment: np.ndarray, start: np.ndarray) -> list[tuple[int, int]]:
+    """The texts and short items that have all q-grams of the item on one diagonal, between word edges."""
+    if not len(doc):
+        return []
+    order = np.lexsort((start, segment, doc))
+    doc, segment, start = doc[order], segment[order], start[order]
+    edge = np.flatnonzero(np.concatenate([[True], (np.diff(start) != 0) | (np.diff(segment) != 0) | (np.diff(doc) != 0)]))
+    size = np.diff(np.append(edge, len(doc)))
+    edge = edge[size == index.lengths[segment[edge]] - Q + 1]
+    doc, segment, start = doc[edge], segment[edge], start[edge]
+    end = start + index.lengths[segment]
+    free = (start == at[doc]) | (text[start - 1] == 32)
+    free &= (end == at[doc + 1]) | (text[np.minimum(end, len(text) - 1)] == 32)
+    return list(zip(doc[free].tolist(), segment[free].tolist(), strict=True))
+
+
 def search(index: Index, raw: np.ndarray, offsets: np.ndarray) -> list[tuple[int, int, int]]:
     """Text number, segment and edits of every segment that aligns to a text within its budget."""
     text, at = normalise(raw, offsets)
+    out = tiny(index, text, at)
     if not len(index.starts) or len(text) < Q:
-        return []
+        return as_rows(out)
     grams = grams_of(text)
     spot = np.flatnonzero(index.slots[(grams * ODD) >> np.uint64(64 - SLOTS)])
     found = np.searchsorted(index.grams, grams[spot])
@@ -146,11 +179,15 @@ def search(index: Index, raw: np.ndarray, offsets: np.ndarray) -> list[tuple[int
     count = index.at[found + 1] - index.at[found]
     total = int(count.sum())
     if not total:
-        return []
+        return as_rows(out)
     posting = np.repeat(index.at[found] - (np.cumsum(count) - count), count) + np.arange(total)
     segment = index.owners[posting]
     diagonal = np.repeat(spot, count) - index.places[posting]
     doc = np.repeat(doc, count)
+    short = index.lengths[segment] < MIN_BYTES
+    for d, k in whole(index, text, at, doc[short], segment[short], diagonal[short]):
+        out[d, k] = 0
+    diagonal, segment, doc = diagonal[~short], segment[~short], doc[~short]
     slack = int(index.edits.max())
     step = max(16, 1 << slack.bit_length())
     band = diagonal // step
@@ -164,11 +201,10 @@ def search(index: Index, raw: np.ndarray, offsets: np.ndarray) -> list[tuple[int
     order = np.lexsort((band, segment, doc))
     band, segment, doc = band[order], segment[order], doc[order]
     if not len(band):
-        return []
+        return as_rows(out)
     edge = np.flatnonzero(np.concatenate([[True], (np.diff(band) != 0) | (np.diff(segment) != 0) | (np.diff(doc) != 0)]))
     size = np.diff(np.append(edge, len(band)))
     edge = edge[size >= needed[segment[edge]]]
-    out: dict[tuple[int, int], int] = {}
     for part in np.array_split(edge, max(1, len(edge) // 4096)):
         if not len(part):
             continue
@@ -177,7 +213,7 @@ def search(index: Index, raw: np.ndarray, offsets: np.ndarray) -> list[tuple[int
         for k in np.flatnonzero(best <= index.edits[s]).tolist():
             key = (int(d[k]), int(s[k]))
             out[key] = min(out.get(key, 1 << 20), int(best[k]))
-    return [(d, s, e) for (d, s), e in sorted(out.items())]
+    return as_rows(out)
 
 
 FOUND = T.ArrayType(T.StructType([T.StructField("item_id", T.LongType()), T.StructField("segments", T.IntegerType()), T.StructField("share", T.DoubleType()), T.StructField("edits", T.IntegerType())]))
@@ -185,7 +221,7 @@ _ARROW = pa.list_(pa.struct([("item_id", pa.int64()), ("segments", pa.int32()),
 
 
 def annotate(df: DataFrame, benchmark: DataFrame, text_col: str = "text", item_col: str = "item_id", item_text: str = "text", segment: int = SEGMENT, rate: float = RATE, block_bytes: int = BLOCK_BYTES) -> DataFrame:
-    """Adds ``found``: for each benchmark item that a text holds, the segments found, their share of the item's bytes and their edits.
+    """Adds ``found``: for each benchmark item that a text holds, the segments found, the share of the item's bytes they cover and the edits (of those that don't overlap).
 
     Nothing is shuffled. Items go to the tasks in blocks of about ``block_bytes`` bytes, each a pass over the texts.
     """
@@ -202,15 +238,21 @@ def annotate(df: DataFrame, benchmark: DataFrame, text_col: str = "text", item_c
         def run(batches: Iterator[pa.RecordBatch], index=index) -> Iterator[pa.RecordBatch]:
             own = index.value
             for part in batches_by_bytes(batches, text_col, 2 << 20):
-                found = part.column("found").to_pylist()
+                found, last = part.column("found").to_pylist(), {}
                 for d, s, e in search(own, *utf8(part.column(text_col))):
                     item, size = int(own.items[s]), int(own.lengths[s])
                     mine = next((x for x in found[d] if x["item_id"] == item), None)
                     if mine is None:
                         found[d].append(mine := {"item_id": item, "segments": 0, "share": 0.0, "edits": 0})
                     mine["segments"] += 1
-                    mine["share"] = min(1.0, mine["share"] + size / max(1, int(own.item_bytes[s])))
-                    mine["edits"] += e
+                    # segments overlap and come in order: what the ones before cover counts once
+                    start = int(own.starts[s])
+                    covered, counted = last.get((d, item), (start, start))
+                    mine["share"] = min(1.0, mine["share"] + (start + size - max(start, covered)) / max(1, int(own.item_bytes[s])))
+                    if start >= counted:
+                        mine["edits"] += e
+                        counted = start + size
+                    last[d, item] = start + size, counted
                 cols = [pa.array(found, _ARROW) if c == "found" else part.column(c) for c in names]
                 yield pa.RecordBatch.from_arrays(cols, names=names)
 

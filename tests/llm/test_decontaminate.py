@@ -72,3 +72,23 @@ def test_odd_rows(spark, odd, empty):
 def test_normalising():
     text, at = decontaminate.normalise(*utf8(pa.array([" A,,b É×", "", None, "c--"])))
     assert bytes(text[at[0] : at[1]]).decode().strip() == "a b é×" and np.diff(at).tolist()[1:3] == [0, 0]
+
+
+def test_parts_are_found_at_every_offset():
+    rng = random.Random(9)
+    words = ["".join(rng.choice("klmnopqrst") for _ in range(rng.randrange(4, 9))) for _ in range(400)]
+    item = [rng.choice(words) for _ in range(45)]
+    index = decontaminate.build_index([1], [" ".join(item)])
+    parts = [" ".join(item[i : i + n]) for n in (13, 16, 20) for i in range(45 - n + 1)]
+    assert min(map(len, parts)) >= 55
+    whole = " ".join(item)
+    parts += [whole[i : i + 55] for i in range(len(whole) - 54)]
+    texts = [f"zz yy xx ww vv uu {p} zz yy xx ww vv uu" for p in parts]
+    assert {d for d, _, _ in decontaminate.search(index, *utf8(pa.array(texts)))} == set(range(len(texts)))
+
+
+def test_short_items_are_found_whole():
+    index = decontaminate.build_index([1, 2, 3], ["What is the tallest hill?", "yes", "zebra crossing"])
+    texts = ["So: what is the tallest hill", "what is the tallest hillside", "what is the tall hill", "Yes!", "yes it is", "A zebra crossing.", "zebra crossing", "azebra crossing"]
+    got = {(d, int(index.items[s])) for d, s, _ in decontaminate.search(index, *utf8(pa.array(texts)))}
+    assert got == {(0, 1), (3, 2), (5, 3), (6, 3)}
