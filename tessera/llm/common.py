@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 import ctypes
+import tempfile
 import uuid
+from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
@@ -15,19 +17,28 @@ NULL_ID = -(2**63)
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share: ``spark.checkpoint.dir``, or one of our own where it is unset (tests)."""
+    """The folder all executors share: ``spark.checkpoint.dir``. Where it is unset, a session on one machine gets a folder of its own; a cluster raises."""
     if found := spark.conf.get("spark.checkpoint.dir", None):
         return found.rstrip("/")
-    import tempfile
-
+    if not spark.sparkContext.master.startswith("local"):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
     own = tempfile.mkdtemp(prefix="tessera-")
     spark.conf.set("spark.checkpoint.dir", own)
     return own
 
 
+def _file_system(spark: SparkSession, path: str):
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return at, at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+
+
 def scratch_path(spark: SparkSession, name: str) -> str:
-    """A fresh path for a written table in the shared folder, grouped by application."""
-    return f"{shared_dir(spark)}/tessera/{spark.sparkContext.applicationId}/{name}-{uuid.uuid4().hex}"
+    """A fresh path for a written table in the shared folder, grouped by application; what is still there goes when the application ends."""
+    own = f"{shared_dir(spark)}/tessera/{spark.sparkContext.applicationId}"
+    at, fs = _file_system(spark, own)
+    fs.mkdirs(at)
+    fs.deleteOnExit(at)
+    return f"{own}/{name}-{uuid.uuid4().hex}"
 
 
 def written(df: DataFrame, name: str) -> DataFrame:
@@ -35,14 +46,32 @@ def written(df: DataFrame, name: str) -> DataFrame:
     spark = df.sparkSession
     path = scratch_path(spark, name)
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._scratch = path
+    return out
+
 
+def free(*tables: DataFrame | None) -> None:
+    """Removes tables that ``written`` made, once nothing reads them any more."""
+    for t in tables:
+        if t is not None and (path := getattr(t, "_scratch", None)):
+            at, fs = _file_system(t.sparkSession, path)
+            fs.delete(at, True)
 
-def delete_path(spark: SparkSession, path: str) -> None:
-    """Remove a scratch table once nothing reads it any more."""
-    jvm = spark.sparkContext._jvm
-    p = jvm.org.apache.hadoop.fs.Path(path)
-    p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
+
+@contextmanager
+def scratch(spark: SparkSession):
+    """All tables written inside go when the block ends: for a stage whose result has been written elsewhere by then."""
+    at, fs = _file_system(spark, f"{shared_dir(spark)}/tessera/{spark.sparkContext.applicationId}")
+    names = lambda: {s.getPath().toString() for s in fs.listStatus(at)} if fs.exists(at) else set()
+    before, kept = names(), []
+    try:
+        yield kept.append
+    finally:
+        keep = {t._scratch.rpartition("/")[2] for t in kept}
+        for path in names() - before:
+            if path.rpartition("/")[2] not in keep:
+                fs.delete(spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path), True)
 
 
 def ascii_lower(text: Column) -> Column:

@@ -1,8 +1,8 @@
 """URL filter: allow and block rules, then a logistic regression on hashed character n-grams of host and path.
 
-Everything is DataFrame expressions. The model is fitted by gradient descent in its dual form: over a small
-labelled table (``max_rows`` at most) the weights are always a sum of the rows' feature vectors, so an epoch needs
-the rows' inner products alone and the whole descent is one expression over one row.
+Pages are judged by DataFrame expressions alone: nothing is shuffled. The model is fitted by Spark's own DataFrame-based
+logistic regression over a small hand-labelled table (``max_rows`` at most), within the JVM. A URL is blocked from a
+probability of one half on.
 
 Defined cases: a null URL or one without ``://`` has an empty host and path, fits no rule and is judged by the
 method (no n-grams: the bias alone); any row is judged by itself, so repeated rows are judged alike; an empty
@@ -11,25 +11,21 @@ table gives an empty table; columns that are added replace input columns of the
 
 from __future__ import annotations
 
+import math
+
+from pyspark.ml.classification import LogisticRegression
+from pyspark.ml.feature import CountVectorizer, Normalizer
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import LOWER, UPPER
+from . import url_labels
+from .common import LOWER, UPPER, free, written
 
-BUCKETS = 4096
+BUCKETS = 1 << 14
 SIZES = (3, 4)
-#: Host and path words of the labelled table; each label's URLs are all pairs of its own lists.
-GOOD_HOSTS = ("library.city", "news.daily", "docs.project", "blog.garden", "wiki.science", "school.learning", "museum.arts", "health.clinic")
-GOOD_PATHS = ("/articles/history", "/2021/05/report.html", "/guide/install", "/research/papers", "/about", "/en/recipes/bread", "/tutorial/python", "/books/review")
-BAD_HOSTS = ("casino.win", "freexxx.cams", "cheap-pills.shop", "ads.tracker", "bet888.slots", "adult.porn", "loan.payday", "warez.torrent")
-BAD_PATHS = ("/bonus/jackpot", "/porn/video", "/buy/viagra", "/click/redirect", "/slots/free-spins", "/xxx/gallery", "/download/crack.exe", "/popup/promo")
-TOPS = ("com", "net", "org", "info")
-
-
 def labelled(spark: SparkSession) -> DataFrame:
-    """The small labelled table ``url, label`` (1: block), made from the word lists above."""
-    rows = [(f"http://{h}.{TOPS[(i + j) % 4]}{p}", y) for y, hosts, paths in ((0, GOOD_HOSTS, GOOD_PATHS), (1, BAD_HOSTS, BAD_PATHS)) for i, h in enumerate(hosts) for j, p in enumerate(paths)]
-    return spark.createDataFrame(rows, "url string, label int")
+    """The hand-labelled table ``url, label`` (1: block)."""
+    return spark.createDataFrame(url_labels.rows(), "url string, label int")
 
 
 def host(url: Column) -> Column:
@@ -54,46 +50,32 @@ def features(url: Column, sizes: tuple[int, ...] = SIZES, buckets: int = BUCKETS
     return F.when(F.coalesce(url, F.lit("")).contains("://"), F.concat(grams(host(url), "host", sizes, buckets), grams(path(url), "path", sizes, buckets))).otherwise(F.array().cast("array<int>"))
 
 
-def fit(rows: DataFrame, url_col: str = "url", label_col: str = "label", epochs: int = 60, rate: float = 4.0, decay: float = 1e-3, max_rows: int = 512, buckets: int = BUCKETS, sizes: tuple[int, ...] = SIZES) -> list[float]:
-    """The ``buckets`` weights, the bias last, fitted on the ``max_rows`` labelled rows of smallest hash.
+def fit(rows: DataFrame, url_col: str = "url", label_col: str = "label", decay: float = 1e-4, iterations: int = 40, max_rows: int = 1024, buckets: int = BUCKETS, sizes: tuple[int, ...] = SIZES) -> list[float]:
+    """The ``buckets`` weights, the bias last, fitted on the ``max_rows`` labelled rows of smallest hash; feature vectors have length 1.
 
-    Feature vectors have length 1. ``a`` holds each row's share in the weights: w = sum(a_i x_i), bias = sum(a_i).
+    Labels all of one kind, or none at all, give the bias alone.
     """
-    kept = rows.where(F.col(url_col).isNotNull() & F.col(label_col).isin(0, 1)).select(F.col(url_col).alias("u"), F.col(label_col).cast("double").alias("y"))
-    kept = kept.distinct().orderBy(F.xxhash64("u", "y"), "u", "y").limit(max_rows)
-    vectors = (
-        kept.withColumn("b", F.explode_outer(features(F.col("u"), sizes, buckets))).groupBy("u", "y", "b").agg(F.count("b").cast("double").alias("c"))
-        .groupBy("u", "y").agg(F.array_sort(F.collect_list(F.when(F.col("b").isNotNull(), F.struct("b", "c")))).alias("x"), F.sqrt(F.sum(F.col("c") * F.col("c"))).alias("norm"))
-    )
-    one = vectors.agg(F.array_sort(F.collect_list(F.struct("u", "y", "norm", "x"))).alias("rows"))
-    flat = one.select(F.posexplode("rows").alias("i", "r")).select("i", F.col("r.y").alias("y"), F.explode_outer("r.x").alias("e"), F.col("r.norm").alias("norm"))
-    cells = flat.select("i", "y", F.col("e.b").alias("b"), (F.col("e.c") / F.greatest("norm", F.lit(1e-12))).alias("v"))
-    left, right = cells.select("i", "y", "b", "v"), cells.select(F.col("i").alias("j"), "b", F.col("v").alias("w"))
-    n_rows = cells.select("i", "y").distinct()
-    inner = left.join(right, "b").groupBy("i", "j").agg(F.sum(F.col("v") * F.col("w")).alias("k"))
-    lines = inner.groupBy("i").agg(F.array_sort(F.collect_list(F.struct("j", "k"))).alias("near"))
-    table = n_rows.join(lines, "i", "left").agg(F.array_sort(F.collect_list(F.struct("i", "y", "near"))).alias("t"))
-    n = F.size("t")
-    zero = F.transform("t", lambda r: F.lit(0.0))
-    line = lambda r, a: F.coalesce(F.aggregate(r["near"], F.lit(0.0), lambda s, e: s + e["k"] * F.element_at(a, e["j"] + 1)), F.lit(0.0))
-
-    def epoch(a: Column, _: Column) -> Column:
-        bias = F.aggregate(a, F.lit(0.0), lambda s, x: s + x)
-        return F.transform(F.arrays_zip(F.col("t").alias("r"), a.alias("a")), lambda z: z["a"] * (1 - rate * decay) + rate / n * (z["r"]["y"] - 1 / (1 + F.exp(-(line(z["r"], a) + bias)))))
-
-    shares = table.select(F.posexplode(F.aggregate(F.sequence(F.lit(1), F.lit(epochs)), zero, epoch)).alias("i", "a"))
-    parts = cells.join(shares, "i").groupBy("b").agg(F.sum(F.col("v") * F.col("a")).alias("w"))
-    bias = shares.agg(F.coalesce(F.sum("a"), F.lit(0.0)).alias("w")).select(F.lit(buckets + 1).alias("b"), "w")
-    out = [0.0] * (buckets + 1)
-    for b, w in parts.where("b is not null").unionByName(bias).collect():  # as many rows as buckets at most
-        out[b - 1] = w
+    kept = rows.where(F.col(url_col).isNotNull() & F.col(label_col).isin(0, 1)).select(F.col(url_col).alias("u"), F.col(label_col).cast("double").alias("label"))
+    kept = kept.distinct().orderBy(F.xxhash64("u", "label"), "u", "label").limit(max_rows).coalesce(1)
+    held = written(kept.select("label", F.transform(features(F.col("u"), sizes, buckets), lambda b: b.cast("string")).alias("terms")), "labelled")
+    out, seen = [0.0] * (buckets + 1), {r.label: r.n for r in held.groupBy("label").agg(F.count(F.lit(1)).alias("n")).collect()}
+    if len(seen) < 2:
+        out[-1] = math.log((seen.get(1.0, 0) + 1) / (seen.get(0.0, 0) + 1))
+    else:
+        terms = CountVectorizer(inputCol="terms", outputCol="counts", vocabSize=buckets).fit(held)
+        unit = Normalizer(inputCol="counts", outputCol="features").transform(terms.transform(held))
+        model = LogisticRegression(regParam=decay, standardization=False, maxIter=iterations).fit(unit)
+        for term, w in zip(terms.vocabulary, model.coefficients.toArray().tolist(), strict=True):
+            out[int(term) - 1] = w
+        out[-1] = model.intercept
+    free(held)
     return out
 
 
 def score(url: Column, weights: list[float], sizes: tuple[int, ...] = SIZES) -> Column:
     """The probability that a URL is to be blocked."""
     buckets = len(weights) - 1
-    table = F.array(*map(F.lit, weights))  # folds to one literal
+    table = F.split(F.lit(",".join(map(repr, weights))), ",").cast("array<double>")  # folds to one literal
     # repeated n-grams weigh by their count; the vector's length is 1
     counts = features(url, sizes, buckets)
     total = F.aggregate(counts, F.lit(0.0), lambda s, b: s + F.element_at(table, b))
@@ -106,7 +88,7 @@ def score(url: Column, weights: list[float], sizes: tuple[int, ...] = SIZES) ->
     return 1 / (1 + F.exp(-(total / F.greatest(F.sqrt(square), F.lit(1.0)) + F.lit(weights[-1]))))
 
 
-def judge(pages: DataFrame, rules: list[tuple[str, str, str]], weights: list[float], url_col: str = "url", threshold: float = 0.7) -> DataFrame:
+def judge(pages: DataFrame, rules: list[tuple[str, str, str]], weights: list[float], url_col: str = "url", threshold: float = 0.5, sizes: tuple[int, ...] = SIZES) -> DataFrame:
     """Adds ``host, path, rule, score, verdict``.
 
     A rule is (verdict, host, path): it fits its host and all subdomains if the path starts with the rule's;
@@ -118,5 +100,5 @@ def judge(pages: DataFrame, rules: list[tuple[str, str, str]], weights: list[flo
     for said, h, p in sorted(rules, key=lambda r: (len(r[1] + r[2]), len(r[1]), r[1], r[2])):
         fits = ((F.col("host") == h) | F.endswith("host", F.lit("." + h))) & F.startswith("path", F.lit(p))
         rule, verdict = F.when(fits, h + p).otherwise(rule), F.when(fits, said).otherwise(verdict)
-    out = out.withColumns({"rule": rule, "score": score(F.col(url_col), weights), "_said": verdict})
+    out = out.withColumns({"rule": rule, "score": score(F.col(url_col), weights, sizes), "_said": verdict})
     return out.withColumn("verdict", F.coalesce("_said", F.when(F.col("score") >= threshold, "block").otherwise("allow"))).drop("_said")
