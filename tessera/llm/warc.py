@@ -5,7 +5,7 @@ Headers alone are shuffled by payload digest to find the records that repeat a p
 separator is the blank lines that end a record, and read by ``Content-Length``.
 
 Defined cases: a null payload is empty; a null key is the smallest and refers to nothing when it alone is left;
-rows that tie on the largest key of equal payloads are all responses; null URLs leave the URI header out;
+rows that tie on the largest key of equal payloads are all responses, each with its own URL; null URLs leave the URI header out;
 CR and LF in a URL become spaces; payloads shorter than ``least`` are all responses; an empty table gives
 archives without records; payloads are compared by SHA-1, xxHash and length together. Each archive file is
 one gzip stream of whole records.
@@ -14,12 +14,13 @@ one gzip stream of whole records.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from typing import BinaryIO
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import NULL_ID
+from .common import NULL_ID, written
 
 END = "\r\n\r\n"
 FILE_BYTES = 24 << 20
@@ -50,15 +51,13 @@ def originals(found: DataFrame, least: int) -> DataFrame:
     )
 
 
-def resolve(found: DataFrame, least: int = 1000, salts: int = 16) -> DataFrame:
+def resolve(found: DataFrame, least: int = 1000) -> DataFrame:
     """Every header with ``record_type`` and, for a revisit, ``refers_to`` and the original's URL.
 
-    The join by digest is salted: the few shared payloads are repeated once a salt, so one hot payload
-    is spread over ``salts`` tasks.
+    Originals are written first: the join has a plain exchange on either side, so a payload that a third of all records
+    repeat is split at run time, into as many parts as it needs.
     """
-    shared = originals(found, least).withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
-    salted = found.withColumn("salt", F.pmod(F.xxhash64("key"), F.lit(salts)).cast("int"))
-    joined = salted.join(shared, ["payload_digest", "payload_bytes", "check", "salt"], "left")
+    joined = found.join(written(originals(found, least), "originals"), ["payload_digest", "payload_bytes", "check"], "left")
     revisit = F.col("original").isNotNull() & ~F.col("key").eqNullSafe(F.col("original"))
     return joined.select(
         "key", "url", "payload_bytes", "payload_digest", "check",
@@ -73,15 +72,15 @@ def _record_id(key) -> "F.Column":
     return F.concat(F.lit("<urn:uuid:"), F.concat_ws("-", *(F.substring(h, a, n) for a, n in ((1, 8), (9, 4), (13, 4), (17, 4), (21, 12)))), F.lit(">"))
 
 
-def records(pages: DataFrame, resolved: DataFrame, key_col: str = "page_id", payload_col: str = "html", date: str = "2025-01-01T00:00:00Z") -> DataFrame:
+def records(pages: DataFrame, resolved: DataFrame, key_col: str = "page_id", url_col: str = "url", payload_col: str = "html", date: str = "2025-01-01T00:00:00Z") -> DataFrame:
     """One string ``value`` a record: fresh headers and the block, without the blank lines that end it.
 
     ``resolved`` has few bytes a row; payloads move once, by key, and only to meet their decision.
     """
-    wide = pages.select(F.coalesce(F.col(key_col).cast("long"), F.lit(NULL_ID)).alias("k"), F.coalesce(F.col(payload_col), F.lit("")).alias("payload"))
+    wide = pages.select(F.coalesce(F.col(key_col).cast("long"), F.lit(NULL_ID)).alias("k"), F.col(url_col).alias("url"), F.coalesce(F.col(payload_col), F.lit("")).alias("payload"))
     wide = wide.withColumn("check", F.xxhash64(F.col("payload").cast("binary")))
-    # several rows may repeat key and payload: they count as one decision
-    said = resolved.withColumn("k", F.coalesce("key", F.lit(NULL_ID))).dropDuplicates(["k", "check"])
+    # several rows may repeat key and payload: they count as one decision, and each keeps its own URL
+    said = resolved.drop("url").withColumn("k", F.coalesce("key", F.lit(NULL_ID))).dropDuplicates(["k", "check"])
     both = wide.join(said, ["k", "check"])
     url = lambda c: F.regexp_replace(c, "[\r\n]+", " ")
     http = F.concat(F.lit("HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: "), F.col("payload_bytes").cast("string"), F.lit(END))
@@ -111,26 +110,25 @@ def write_archives(pages: DataFrame, path: str, least: int = 1000, key_col: str
     """Deduplicated archives of ``pages`` under ``path``, in files of about ``file_bytes`` bytes before compression."""
     found = headers(pages, key_col, url_col, payload_col)
     mean = found.agg(F.avg(F.col("payload_bytes") + 600)).first()[0] or 600
-    made = records(pages, resolve(found, least), key_col, payload_col)
+    made = records(pages, resolve(found, least), key_col, url_col, payload_col)
     made.write.option("lineSep", END).option("compression", "gzip").option("maxRecordsPerFile", max(1, int(file_bytes / mean))).text(path)
 
 
-def _parse(data: memoryview) -> Iterator[dict]:
-    at = 0
-    while at < len(data):
-        cut = bytes(data[at : at + 65536]).find(END.encode())
-        if cut < 0:  # a header longer than 64 KB
-            cut = bytes(data[at:]).find(END.encode())
-        lines = bytes(data[at : at + cut]).decode().split("\r\n")
-        if cut < 0 or not lines[0].startswith("WARC/"):
+def _parse(stream: BinaryIO) -> Iterator[tuple[dict[str, str], bytes]]:
+    """Header and block of each record; one record at a time is in memory."""
+    while line := stream.readline():
+        if not line.startswith(b"WARC/"):
             raise ValueError("no WARC record where one should begin")
-        head = {k.lower(): v for k, v in (x.split(": ", 1) for x in lines[1:])}
-        start, n = at + cut + 4, int(head["content-length"])
-        block = data[start : start + n]
-        if bytes(data[start + n : start + n + 4]) != END.encode():
+        head = {}
+        while (line := stream.readline()) != b"\r\n":
+            if not line:
+                raise ValueError("a WARC record ends within its header")
+            name, _, value = line.decode().removesuffix("\r\n").partition(": ")
+            head[name.lower()] = value
+        block = stream.read(int(head["content-length"]))
+        if len(block) != int(head["content-length"]) or stream.read(4) != END.encode():
             raise ValueError("a WARC record doesn't end where its length says")
-        yield {"head": head, "block": block}
-        at = start + n + 4
+        yield head, block
 
 
 def read_archives(spark: SparkSession, path: str) -> DataFrame:
@@ -143,14 +141,14 @@ def read_archives(spark: SparkSession, path: str) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import gzip
         import hashlib
+        import io
 
         names = [x.split()[0] for x in schema.split(", ")]
         kinds = [pa.string(), pa.string(), pa.int64(), pa.string(), pa.string(), pa.int64(), pa.string(), pa.int64(), pa.binary()]
         for batch in batches:
             for value in batch.column("content"):
                 rows, size = [], 0
-                for r in _parse(memoryview(gzip.decompress(value.as_py()))):
-                    h, block = r["head"], bytes(r["block"])
+                for h, block in _parse(gzip.open(io.BytesIO(value.as_py()))):
                     http, _, payload = block.partition(END.encode())
                     if h["warc-type"] == "response":
                         digest, n = hashlib.sha1(payload).hexdigest(), len(payload)

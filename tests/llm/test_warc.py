@@ -21,6 +21,14 @@ def test_round_trip(spark, tmp_path):
     assert revisit.payload is None and revisit.refers_to_id.startswith("<urn:uuid:")
 
 
+def test_repeated_rows_keep_their_urls_and_large_payloads_come_back(spark, tmp_path):
+    rows = [(7, "http://a/", "h" * 2000), (7, "http://b/", "h" * 2000), (8, "http://" + "c" * 100_000, "é" * 3_000_000)]
+    path = str(tmp_path / "w")
+    warc.write_archives(spark.createDataFrame(rows, "page_id long, url string, html string"), path, file_bytes=1 << 20)
+    got = sorted((r.key, r.url, bytes(r.payload).decode()) for r in warc.read_archives(spark, path).collect())
+    assert got == rows
+
+
 def test_empty(spark, tmp_path):
     df = spark.createDataFrame([], "page_id long, url string, html string")
     warc.write_archives(df, str(tmp_path / "w"))
