@@ -6,10 +6,13 @@ document's host: counts of what the texts alone say, by grouped aggregation, smo
 counts and those towards all documents'. A language declared in markup is one more observation, right with a
 reliability that is estimated from how often it agrees with the texts.
 
+A document's own text is left out of the counts that make its prior, so that it isn't heard twice.
+
 Defined cases: a null or empty text, or one without letters, has no likelihood: it is ``und`` and rejected; null hosts and
 suffixes share one prior; a declared language that isn't known counts for nothing; repeated rows are judged alike (and
-weigh by their number in the priors); without a labelled row every document is ``und``; an empty table gives an empty
-table; columns added replace input columns of the same name.
+weigh by their number in the priors); without a labelled row every document is ``und``; every label that has a text is a
+language; an empty table gives an empty table; columns added replace input columns of the same name. Texts and tags are
+read whole. A language takes 1 MB of each worker's memory.
 """
 
 from __future__ import annotations
@@ -23,10 +26,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import batches_by_bytes, row_key, utf8, written
+from .common import batches_by_bytes, free, row_key, utf8, written
 
 BITS = 18
-MAX_LANGUAGES = 64
+EDGE = 31
 BACKGROUND = "und"
 #: One byte stands in four grams: the weight of a gram's log likelihood.
 WEIGHT = 0.25
@@ -41,17 +44,17 @@ class Model:
 
 
 def grams(raw: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """The hashed 4-grams of all texts and where each text's begin (n + 1 places)."""
+    """The hashed 4-grams of all texts, with an edge mark at both ends, and where each text's begin (n + 1 places)."""
     keep_table = np.full(256, 32, np.uint8)
     keep_table[97:123] = np.arange(97, 123)
     keep_table[65:91] = np.arange(97, 123)
     keep_table[128:] = np.arange(128, 256)
-    raw = keep_table[raw]
+    n, edged = len(offsets) - 1, np.full(len(raw) + 2 * (len(offsets) - 1), EDGE, np.uint8)
+    edged[np.arange(len(raw)) + np.repeat(2 * np.arange(n) + 1, np.diff(offsets))] = keep_table[raw]
+    raw, offsets = edged, offsets + 2 * np.arange(n + 1)
     blank = raw == 32
     keep = ~blank
     keep[1:] |= ~blank[:-1]
-    firsts = offsets[:-1][np.diff(offsets) > 0]
-    keep[firsts] = ~blank[firsts]
     text, at = raw[keep], np.concatenate([[0], np.cumsum(keep)])[offsets]
     if len(text) < 4:
         return np.zeros(0, np.int64), np.zeros(len(offsets), np.int64)
@@ -68,16 +71,14 @@ def grams(raw: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]
 
 
 def fit(labelled: DataFrame, text_col: str = "text", label_col: str = "lang", per_language: int = 300, alpha: float = 0.02) -> Model:
-    """Trains on a bounded sample: of each language the ``per_language`` rows of smallest hash, whole texts; ``MAX_LANGUAGES`` languages at most."""
+    """Trains on a bounded sample: of each label the ``per_language`` different texts of smallest hash, whole texts."""
     rows = labelled.where(F.col(label_col).isNotNull() & (F.length(text_col) > 0)).select(F.col(label_col).alias("y"), F.col(text_col).alias("t"))
-    counts = [(r.y, r.n) for r in rows.groupBy("y").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "y").limit(MAX_LANGUAGES).collect()]
-    order = F.xxhash64("t", F.lit("sample"))
-    keep = F.lit(False)
-    for y, n in counts:  # about twice as many as are taken come to the driver
-        share = min(1.0, 2 * per_language / n)
-        keep = keep | ((F.col("y") == y) & (F.pmod(order, F.lit(1 << 30)) < int(share * (1 << 30)) + 1))
+    order, parts = F.xxhash64("t", F.lit("sample")), 1 << 30
+    counts = [(r.y, r.n) for r in rows.groupBy("y").agg(F.approx_count_distinct(order, 0.02).alias("n")).collect()]
+    # about twice as many as are taken come to the driver
+    shares = F.create_map(*(F.lit(x) for y, n in counts for x in (y, int(min(1.0, 2 * per_language / max(1, n)) * parts) + 1)))
     taken: dict[str, list[tuple[int, str]]] = {}
-    for r in rows.where(keep).select("y", "t", order.alias("o")).distinct().toLocalIterator() if counts else ():
+    for r in rows.where(F.pmod(order, F.lit(parts)) < F.element_at(shares, F.col("y"))).select("y", "t", order.alias("o")).distinct().toLocalIterator() if counts else ():
         mine = taken.setdefault(r.y, [])
         mine.append((r.o, r.t))
         if len(mine) > 2 * per_language:
@@ -114,7 +115,7 @@ def likelihoods(df: DataFrame, model: Model, text_col: str = "text") -> DataFram
 
 def declared_in_markup(text: Column) -> Column:
     """The language that the first ``<html lang=...>`` of a text declares, without its region; else null."""
-    found = F.lower(F.regexp_extract(F.coalesce(text, F.lit("")), r"(?i)<html\b[^>]{0,500}?\blang\s*=\s*[\"']?([a-z]{2,3})\b", 1))
+    found = F.lower(F.regexp_extract(F.coalesce(text, F.lit("")), r"(?i)<html\b[^<>]*?\blang\s*=\s*[\"']?([a-z]{2,3})\b", 1))
     return F.when(found != "", found)
 
 
@@ -135,15 +136,21 @@ def _sums(size: int) -> Column:
     return F.array(*(F.round(F.sum(F.element_at("post", k + 1)), 6) for k in range(size)))
 
 
-def identify(df: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text", host_col: str | None = None, declared: Column | None = None, host_weight: float = 20.0, suffix_weight: float = 100.0, sure: float = 0.5, salts: int = 8) -> DataFrame:
-    """Each row's id, ``language``, ``confidence``, ``declared``, ``n_grams``, ``accepted``; and ``_k1``, ``_k2``.
+def text_of_markup(html: Column) -> Column:
+    """A page's text: without scripts, styles, comments and tags."""
+    return F.regexp_replace(html, r"(?is)<script\b.*?</script\s*>|<style\b.*?</style\s*>|<!--.*?-->|<[^<>]*>", " ")
+
+
+def identify(df: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text", host_col: str | None = None, declared: Column | None = None, host_weight: float = 20.0, suffix_weight: float = 100.0, sure: float = 0.5, carry: tuple[str, ...] = ()) -> DataFrame:
+    """Each row's id, ``language``, ``confidence``, ``declared``, ``n_grams``, ``accepted``; and ``_k1``, ``_k2`` and the columns ``carry``.
 
     A document is accepted if a language, not the background, has a posterior of ``sure`` or more.
     """
     size = len(model.languages) + 1
     host = F.col(host_col) if host_col else F.lit(None).cast("string")
     said = declared if declared is not None else declared_in_markup(F.col(text_col))
-    base = row_key(df, id_col, text_col).select(F.col(id_col).alias("_id"), "_k1", "_k2", F.coalesce(host, F.lit("")).alias("host"), said.alias("declared"), F.col(text_col).alias("_t"))
+    kept = [F.col(c).alias(f"_c{i}") for i, c in enumerate(carry)]
+    base = row_key(df, id_col, text_col).select(F.col(id_col).alias("_id"), "_k1", "_k2", F.coalesce(host, F.lit("")).alias("host"), said.alias("declared"), *kept, F.col(text_col).alias("_t"))
     even = F.array(*[F.lit(0.0)] * (size - 1), F.lit(-2.0))
     seen = written(likelihoods(base, model, "_t").withColumn("post", _posterior(F.zip_with("likelihood", even, lambda a, b: a + b))), "likelihoods")
     real = seen.where("n_grams > 0")
@@ -152,21 +159,28 @@ def identify(df: DataFrame, model: Model, id_col: str = "doc_id", text_col: str
     unit = lambda: [F.sum(F.element_at("c", k + 1)) for k in range(size)]
     suffixes = hosts.groupBy("suffix").agg(F.sum("n").alias("sn"), F.array(*unit()).alias("sc"))
     everything = hosts.agg(F.sum("n").alias("n"), F.array(*unit()).alias("c")).first()
-    overall = [(x + 1) / (everything.n + size) for x in everything.c] if everything.n else [1.0 / size] * size
-    overall = F.array(*map(F.lit, overall))
-    smooth = lambda c, n, p, w: F.zip_with(c, p, lambda a, b: (a + w * b) / (n + w))
-    priors = hosts.join(suffixes, "suffix").select("host", smooth("c", F.col("n"), smooth("sc", F.col("sn"), overall, suffix_weight), host_weight).alias("prior"))
-    priors = priors.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
+    zeros = F.array(*[F.lit(0.0)] * size)
+    total, totals = F.lit(everything.n or 0), F.array(*map(F.lit, everything.c)) if everything.n else zeros
+    both = written(hosts.join(suffixes, "suffix").select("host", "n", "c", "sn", "sc"), "counts")
     # how often a declared language agrees with the text
     codes = F.array(*map(F.lit, model.languages)) if model.languages else F.array().cast("array<string>")
     agree = real.where(F.array_contains(codes, F.col("declared"))).agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.sum(F.element_at("post", F.array_position(codes, F.col("declared")).cast("int"))), F.lit(0.0)).alias("s")).first()
     right = (agree.s + 4.0) / (agree.n + 5.0)
     told = F.transform(F.sequence(F.lit(1), F.lit(size)), lambda k: F.when(~F.array_contains(codes, F.col("declared")) | F.col("declared").isNull(), 0.0).when(k == F.array_position(codes, F.col("declared")), F.lit(float(np.log(right)))).otherwise(F.lit(float(np.log((1 - right) / max(1, size - 1))))))
-    joined = seen.withColumn("salt", F.pmod(F.xxhash64("_k1", "_k2"), F.lit(salts)).cast("int")).join(written(priors, "priors"), ["host", "salt"], "left")
-    prior = F.coalesce("prior", overall)
-    scores = F.zip_with(F.zip_with("likelihood", prior, lambda a, p: a + F.log(F.greatest(p, F.lit(1e-9)))), told, lambda a, b: a + b)
+    # a hot host is split at run time: its rows come from a written table by a plain exchange, its counts are one row
+    joined = seen.join(both, "host", "left")
+    counted = (F.col("n_grams") > 0).cast("int")
+    own = F.when(F.col("n_grams") > 0, F.col("post")).otherwise(zeros)
+    less = lambda c, n, p, w: F.zip_with(F.zip_with(c, own, lambda a, o: F.greatest(a - o, F.lit(0.0))), p, lambda a, b: (a + w * b) / (n - counted + w))
+    overall = F.transform(F.zip_with(totals, own, lambda a, o: F.greatest(a - o, F.lit(0.0))), lambda a: (a + 1) / (total - counted + size))
+    joined = joined.withColumn("_all", overall)
+    joined = joined.withColumn("_all", F.when(F.col("sn").isNull(), F.col("_all")).otherwise(less("sc", F.col("sn"), "_all", suffix_weight)))
+    joined = joined.withColumn("_prior", F.when(F.col("n").isNull(), F.col("_all")).otherwise(less("c", F.col("n"), "_all", host_weight)))
+    scores = F.zip_with(F.zip_with("likelihood", "_prior", lambda a, p: a + F.log(F.greatest(p, F.lit(1e-9)))), told, lambda a, b: a + b)
     out = joined.withColumn("post", _posterior(scores))
     best = F.array_max("post")
     names = F.array(*map(F.lit, [*model.languages, BACKGROUND]))
     language = F.when((F.col("n_grams") > 0) & (best >= sure), F.element_at(names, F.array_position("post", best).cast("int"))).otherwise(BACKGROUND)
-    return out.select(F.col("_id").alias(id_col), language.alias("language"), F.when(F.col("n_grams") > 0, best).otherwise(0.0).alias("confidence"), "declared", "n_grams", (language != BACKGROUND).alias("accepted"), "_k1", "_k2")
+    out = out.select(F.col("_id").alias(id_col), *(F.col(f"_c{i}").alias(c) for i, c in enumerate(carry)), language.alias("language"), F.when(F.col("n_grams") > 0, best).otherwise(0.0).alias("confidence"), "declared", "n_grams", (language != BACKGROUND).alias("accepted"), "_k1", "_k2")
+    free(hosts)
+    return out
