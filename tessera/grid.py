@@ -127,7 +127,8 @@ def grid_step(values: np.ndarray) -> float:
     return float((i * (v - v.mean())).sum() / (i * i).sum())
 
 
-def check_regular(name: str, values: np.ndarray, step: float) -> None:
+def check_regular(name: str, values: np.ndarray, step: float) -> float:
+    """How far the values are from a regular axis at most; raises if that is too far."""
     if step == 0:
         raise GridError(f"coordinate {name!r} doesn't change")
     v = np.asarray(values, np.float64)
@@ -136,6 +137,7 @@ def check_regular(name: str, values: np.ndarray, step: float) -> None:
     off = np.abs(v - (v[0] + step * np.arange(len(v)))).max()
     if off > allowed:
         raise GridError(f"coordinate {name!r} isn't regular: off by {off:g} where {allowed:g} is allowed")
+    return float(off)
 
 
 def single_step(raster: Raster, dim: str) -> float:

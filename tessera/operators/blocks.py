@@ -8,6 +8,8 @@ expression over them in that order, so results don't depend on the order in whic
 from __future__ import annotations
 
 from collections.abc import Iterable
+from functools import reduce
+from operator import or_
 
 import numpy as np
 from pyspark.sql import Column, DataFrame
@@ -77,7 +79,7 @@ def halve(cells: DataFrame, variables: Iterable[tuple[Variable, str]], extra: It
     else:
         four = cells.groupBy(*keys).agg(*(F.max(F.when(at == k, F.col(v.name))).alias(f"{v.name}__{k}") for v, _ in chosen for k in range(4)))
         out = four.select(*extra, "row", "col", *(reduced([F.col(f"`{v.name}__{k}`") for k in range(4)], m, v.kind, types[v.name], masked_false).alias(v.name) for v, m in chosen))
-    return out.where(F.coalesce(*(F.col(v.name).cast("string") for v, _ in chosen)).isNotNull())
+    return out.where(reduce(or_, (F.col(v.name).isNotNull() for v, _ in chosen)))
 
 
 def block_centres(centres: np.ndarray, step: float | None = None) -> np.ndarray:

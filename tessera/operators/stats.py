@@ -9,7 +9,7 @@ from typing import Any
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions import display
+from ..functions import columns, display
 
 log = logging.getLogger("tessera")
 
@@ -50,15 +50,17 @@ def categories(cells: DataFrame, column: str, most: int = display.MAX_CATEGORIES
     """``code, value, color``: the smallest distinct values, ``most`` of them, with a colour each."""
     found = cells.where(F.col(column).isNotNull()).select(F.col(column).alias("value")).distinct().orderBy("value").limit(most)
     one = found.agg(F.sort_array(F.collect_list("value")).alias("v")).select(F.posexplode("v").alias("code", "value"))
-    palette = F.array(*map(F.lit, display.PALETTE))
-    return one.select("code", "value", F.element_at(palette, F.col("code") % len(display.PALETTE) + 1).alias("color"))
-
-
-def with_attrs(lo: float, hi: float, attrs: Mapping[str, Any]) -> tuple[float, float]:
-    """Limits that a variable's own ``vmin`` and ``vmax`` override; both are ignored if they are the wrong way round."""
-    low, high = display.real(attrs.get("vmin")), display.real(attrs.get("vmax"))
-    if low is not None and high is not None and high <= low:
-        log.warning("vmin %g and vmax %g are ignored", low, high)
-        low = high = None
-    lo, hi = lo if low is None else low, hi if high is None else high
-    return lo, hi if hi > lo else lo + 1
+    return one.select("code", "value", columns.palette(F.col("code")).alias("color"))
+
+
+def with_attrs(found: DataFrame, attrs: Mapping[str, Any]) -> DataFrame:
+    """``lo, hi`` of ``found``, each overridden by the variable's own ``vmin`` or ``vmax``.
+
+    Both are ignored, with a warning, where they leave no range between them; a range that is empty in the end is 1 wide.
+    """
+    asked = [display.real(attrs.get(k)) for k in ("vmin", "vmax")]
+    if None not in asked and asked[1] <= asked[0]:
+        log.warning("vmin and vmax %s leave no range and are ignored", asked)
+        asked = [None, None]
+    lo, hi = (F.coalesce(F.lit(x).cast("double"), F.col(c).cast("double")) for x, c in zip(asked, ("lo", "hi"), strict=True))
+    return found.select(lo.alias("lo"), F.when(hi > lo, hi).otherwise(lo + 1).alias("hi"))

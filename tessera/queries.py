@@ -13,13 +13,14 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .functions import display
-from .grid import Found, Grid, Raster, Variable, detect
+from .functions import columns, display
+from .grid import Found, Grid, Raster, Variable, axis_values, check_regular, detect, grid_step
 from .crs import parse
 from .operators import lookup, stats
 from .operators.blocks import halve
 from .operators.quantize import quantize
 from .plans.levels import build_plan
+from .validate import missing_blocks
 
 DOUBLE = "double"
 
@@ -113,6 +114,12 @@ def _sql_doubles(sql: str, *names: str) -> str:
     return f"SELECT * REPLACE ({', '.join(f'CAST({n} AS DOUBLE) AS {n}' for n in names)}) FROM ({sql})"
 
 
+def _sql_rounded(sql: str, bits: int) -> str:
+    """Floats of a column ``v`` to some bits of their mantissa; zeros stay."""
+    step = f"2.0 ** (floor(log2(CASE WHEN v = 0 THEN 1 ELSE abs(CAST(v AS DOUBLE)) END)) - {bits})"
+    return f"SELECT row, col, round_even(CAST(v AS DOUBLE) / s, 0) * s AS v FROM (SELECT *, {step} AS s FROM ({sql}))"
+
+
 V = _variable("v", "float32")
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -199,26 +206,25 @@ register("geo_normalize", lambda s, d: geo(s, d).cells, GEO)
 
 
 def geo_gap(spark: SparkSession, sf: str) -> DataFrame:
-    """A region over the antimeridian: its columns end up at the two edges of a grid of 360."""
-    orders = _read(spark, sf, "orders").where(F.col("o_custkey") % 360 >= 170).where(F.col("o_custkey") % 360 < 190)
-    cells = orders.groupBy((-85.5 + 9 * (F.col("o_orderkey") % 20)).cast(DOUBLE).alias("lat"), (0.5 + F.col("o_custkey") % 360).cast(DOUBLE).alias("lon")).agg(F.max("o_totalprice").alias("total"))
+    """All orders in a region over the antimeridian: its 20 columns end up at the two edges of a grid of 360."""
+    place = [(-85.5 + 9 * (F.col("o_orderkey") % 20)).cast(DOUBLE).alias("lat"), (170.5 + F.col("o_custkey") % 20).cast(DOUBLE).alias("lon")]
+    cells = _read(spark, sf, "orders").groupBy(*place).agg(F.max("o_totalprice").alias("total"))
     return detect(Raster(cells, ("lat", "lon"), {"total": {}})).cells
 
 
-register("geo_gap", geo_gap, "SELECT 19 - CAST(o_orderkey % 20 AS INT) AS row, CAST(CASE WHEN o_custkey % 360 >= 180 THEN o_custkey % 360 - 180 ELSE o_custkey % 360 + 180 END AS INT) AS col, max(o_totalprice) AS total FROM orders WHERE o_custkey % 360 BETWEEN 170 AND 189 GROUP BY ALL")
+register("geo_gap", geo_gap, "SELECT 19 - CAST(o_orderkey % 20 AS INT) AS row, CAST(CASE WHEN o_custkey % 20 >= 10 THEN o_custkey % 20 - 10 ELSE o_custkey % 20 + 350 END AS INT) AS col, max(o_totalprice) AS total FROM orders GROUP BY ALL")
 _TOTAL = _variable("total", "float64")
 register("geo_l1_mean", lambda s, d: halve(geo(s, d).cells, [(_TOTAL, "mean")]), sql_halve(GEO, {"total": ("mean", "f")}))
 
 _LAT = "SELECT DISTINCT -89.5 + o_orderkey % 180 AS v FROM orders"
 
 
-def _axis(spark: SparkSession, sf: str) -> DataFrame:
-    one = geo_raster(spark, sf).df.select("lat").distinct().agg(F.sort_array(F.collect_list("lat")).alias("v"))
-    return one.select(F.posexplode("v").alias("i", "v"))
+def _axis(spark: SparkSession, sf: str) -> np.ndarray:
+    return axis_values(geo_raster(spark, sf).df, "lat")
 
 
-register("grid_step", lambda s, d: _axis(s, d).agg(F.round(F.regr_slope("v", "i"), 9).alias("step")), f"SELECT round(regr_slope(v, i), 9) AS step FROM (SELECT CAST(v AS DOUBLE) AS v, row_number() OVER (ORDER BY v) - 1 AS i FROM ({_LAT}))")
-register("grid_regular", lambda s, d: _axis(s, d).agg(F.max(F.abs(F.col("v") - (-89.5 + F.col("i")))).alias("off"), F.count(F.lit(1)).alias("n")), f"SELECT max(abs(v - (-89.5 + i))) AS off, count(*) AS n FROM (SELECT CAST(v AS DOUBLE) AS v, CAST(row_number() OVER (ORDER BY v) - 1 AS DOUBLE) AS i FROM ({_LAT}))")
+register("grid_step", lambda s, d: s.createDataFrame([(round(grid_step(_axis(s, d)), 9),)], "step double"), f"SELECT round(regr_slope(v, i), 9) AS step FROM (SELECT CAST(v AS DOUBLE) AS v, row_number() OVER (ORDER BY v) - 1 AS i FROM ({_LAT}))")
+register("grid_regular", lambda s, d: s.createDataFrame([(check_regular("lat", _axis(s, d), 1.0), len(_axis(s, d)))], "off double, n long"), f"SELECT max(abs(v - (-89.5 + i))) AS off, count(*) AS n FROM (SELECT CAST(v AS DOUBLE) AS v, CAST(row_number() OVER (ORDER BY v) - 1 AS DOUBLE) AS i FROM ({_LAT}))")
 
 
 def _plan_grid(spark: SparkSession, sf: str):
@@ -272,19 +278,18 @@ def _missing_levels(spark: SparkSession, sf: str) -> DataFrame:
     """Blocks that a level should have and a faulty one lacks: the set difference that a check of two levels takes."""
     cells = ev(spark, sf).where("hot is not null")
     faulty = halve(cells.where("hot and row % 2 = 0").select("kind", "row", "col", "hot"), [(_HOT, "mode")], ["kind"])
-    whole = cells.select("kind", F.floor(F.col("row") / 2).cast("int").alias("row"), F.floor(F.col("col") / 2).cast("int").alias("col")).distinct()
-    return whole.join(faulty.select("kind", "row", "col"), ["kind", "row", "col"], "left_anti")
+    return missing_blocks(cells, faulty, ["kind"])
 
 
-register("keepbits_emb", lambda s, d: _doubles(quantize(emb(s, d).where("v <> 0"), {"v": 8}, {"v": "float32"}), "v"), f"SELECT row, col, round_even(CAST(v AS DOUBLE) / s, 0) * s AS v FROM (SELECT *, 2.0 ** (floor(log2(abs(CAST(v AS DOUBLE)))) - 8) AS s FROM ({EMB}) WHERE v <> 0)")
-register("iso_labels", lambda s, d: _read(s, d, "events").select("event_id", F.regexp_replace(F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss"), "T00:00:00$", "").alias("label"), F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss'Z'").alias("iso")), "SELECT event_id, replace(strftime(ts, '%Y-%m-%dT%H:%M:%S'), 'T00:00:00', '') AS label, strftime(ts, '%Y-%m-%dT%H:%M:%SZ') AS iso FROM events")
-register("palette_codes", lambda s, d: _read(s, d, "nation").select("n_nationkey", F.element_at(F.array(*map(F.lit, display.PALETTE)), F.col("n_nationkey") % 10 + 1).alias("color")), f"SELECT n_nationkey, ['{"', '".join(display.PALETTE)}'][n_nationkey % 10 + 1] AS color FROM nation")
+register("keepbits_emb", lambda s, d: _doubles(quantize(emb(s, d), {"v": 8}, {"v": "float32"}), "v"), _sql_rounded(EMB, 8))
+register("iso_labels", lambda s, d: _read(s, d, "events").select("event_id", columns.iso_label(F.col("ts")).alias("label"), columns.iso_time(F.col("ts")).alias("iso")), "SELECT event_id, replace(strftime(ts, '%Y-%m-%dT%H:%M:%S'), 'T00:00:00', '') AS label, strftime(ts, '%Y-%m-%dT%H:%M:%SZ') AS iso FROM events")
+register("palette_codes", lambda s, d: _read(s, d, "nation").select("n_nationkey", columns.palette(F.col("n_nationkey")).alias("color")), f"SELECT n_nationkey, ['{"', '".join(display.PALETTE)}'][n_nationkey % 10 + 1] AS color FROM nation")
 
 
 def colorize(spark: SparkSession, sf: str) -> DataFrame:
     """The gray of each embedding cell on a ramp of two stops over -0.5 to 0.5."""
-    share = F.greatest(F.lit(0.0), F.least(F.lit(1.0), F.col("v").cast(DOUBLE) + 0.5))
-    return emb(spark, sf).select("row", "col", F.rint(share * 255).cast("int").alias("gray"))
+    gray = columns.ramp(F.col("v"), -0.5, 0.5, [(0, 0, 0), (255, 255, 255)])
+    return emb(spark, sf).select("row", "col", gray[0].alias("gray"))
 
 
 register("colorize", colorize, f"SELECT row, col, CAST(round_even(greatest(0.0, least(1.0, CAST(v AS DOUBLE) + 0.5)) * 255, 0) AS INT) AS gray FROM ({EMB})")
@@ -292,8 +297,11 @@ register("frame_values", lambda s, d: lookup.strided(lookup.frame(ship(s, d), {"
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
+    from . import queries_library  # noqa: F401  registers its own
+
     return dict(QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
+    queries()
     return dict(SQL)

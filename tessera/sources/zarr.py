@@ -19,7 +19,7 @@ from itertools import product
 from typing import Any
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -157,57 +157,84 @@ def array_doc(v: Variable, shape: tuple[int, ...], chunks: tuple[int, ...], shar
 
 
 def export(pyramid: Pyramid, path: str, preset: str = "web", level: int = 3) -> None:
-    """Writes a stored pyramid as a Zarr v3 hierarchy with consolidated metadata."""
+    """Writes a stored pyramid as a Zarr v3 hierarchy; metadata is consolidated in every level's group, then in the root."""
     check_preset(preset, level)
-    plan, root = pyramid.plan, path.rstrip("/")
+    plan, root, extra = pyramid.plan, path.rstrip("/"), pyramid.doc["grid"]["extra"]
     docs: dict[str, Any] = {}
+    source = {v["name"]: v["attrs"] for v in pyramid.doc["variables"]}
     for at in plan.levels:
         own = pyramid.doc["levels"][str(at.index)]
         docs[str(at.index)] = {"zarr_format": 3, "node_type": "group", "attributes": own["attrs"]}
-        source = {v["name"]: v["attrs"] for v in pyramid.doc["variables"]}
+        alike: dict[Any, list[Variable]] = {}
         for v in plan.grid.variables:
             lay = at.layouts[v.name]
             docs[f"{at.index}/{v.name}"] = array_doc(v, at.shapes[v.name], lay.chunks, lay.shards, source[v.name] | own["arrays"][v.name], preset, level)
-            _export_array(pyramid.level(at.index), v, at.shapes[v.name], lay, pyramid.doc["grid"]["extra"], f"{root}/{at.index}/{v.name}", preset, level)
+            alike.setdefault((v.dims, lay.unit), []).append(v)
+        for (dims, unit), variables in alike.items():
+            export_arrays(pyramid.level(at.index), variables, {v.name: at.layouts[v.name] for v in variables}, dims, unit, extra, f"{root}/{at.index}", preset, level)
         a, _, c, _, e, f = at.transform
-        for dim, n, first, step in ((plan.grid.y, at.shape[0], f, e), (plan.grid.x, at.shape[1], c, a)):
-            axis = Variable(dim, "float64", (dim,), (n,), False, math.nan, False)
-            docs[f"{at.index}/{dim}"] = array_doc(axis, (n,), (n,), None, own["arrays"][dim], preset, level)
-            _put(f"{root}/{at.index}/{dim}/c/0", press(first + step * (np.arange(n) + 0.5), preset, level))
-        for dim, values in pyramid.doc["grid"]["extra"].items():
-            if values and all(isinstance(x, (int, float)) for x in values):
-                axis = Variable(dim, "float64", (dim,), (len(values),), False, math.nan, False)
-                docs[f"{at.index}/{dim}"] = array_doc(axis, (len(values),), (len(values),), None, {}, preset, level)
-                _put(f"{root}/{at.index}/{dim}/c/0", press(np.array(values, np.float64), preset, level))
+        axes = {plan.grid.y: f + e * (np.arange(at.shape[0]) + 0.5), plan.grid.x: c + a * (np.arange(at.shape[1]) + 0.5)}
+        axes |= {d: np.array(values, np.float64) for d, values in extra.items() if values and all(isinstance(x, (int, float)) for x in values)}
+        for dim, values in axes.items():
+            axis = Variable(dim, "float64", (dim,), values.shape, False, math.nan, False)
+            docs[f"{at.index}/{dim}"] = array_doc(axis, values.shape, values.shape, None, own["arrays"].get(dim, {}), preset, level)
+            _put(f"{root}/{at.index}/{dim}/c/0", press(values, preset, level))
     for name, doc in docs.items():
-        _put(f"{root}/{name}/zarr.json", json.dumps(doc).encode())
-    whole = {"zarr_format": 3, "node_type": "group", "attributes": pyramid.doc["attrs"], "consolidated_metadata": {"kind": "inline", "must_understand": False, "metadata": docs}}
+        inside = {n.partition("/")[2]: d for n, d in docs.items() if n.startswith(f"{name}/")}
+        _put(f"{root}/{name}/zarr.json", json.dumps(doc | consolidated(inside) if doc["node_type"] == "group" else doc).encode())
+    whole = {"zarr_format": 3, "node_type": "group", "attributes": pyramid.doc["attrs"]} | consolidated(docs)
     _put(f"{root}/zarr.json", json.dumps(whole).encode())
 
 
-def _export_array(cells: DataFrame, v: Variable, shape: tuple[int, ...], lay, extra: dict[str, list], root: str, preset: str, level: int) -> None:
-    lead = v.dims[:-2]
+def consolidated(docs: dict[str, Any]) -> dict[str, Any]:
+    return {"consolidated_metadata": {"kind": "inline", "must_understand": False, "metadata": docs}}
+
+
+def export_arrays(cells: DataFrame, variables: list[Variable], layouts: dict[str, Any], dims: tuple[str, ...], unit: tuple[int, ...], extra: dict[str, list], root: str, preset: str, level: int) -> None:
+    """The variables of a level that share dimensions and write unit, in one shuffle. A task holds one unit of each and fills it as rows stream by."""
+    lead = dims[:-2]
     for d in lead:  # the place of a value along its dimension
         cells = cells.withColumn(f"_{d}", F.array_position(F.array(*map(F.lit, extra[d])), F.col(d).cast("string") if isinstance(extra[d][0], str) else F.col(d)).cast("int") - 1)
     places = [*(f"_{d}" for d in lead), "row", "col"]
-    unit = lay.unit
     keys = [F.floor(F.col(p) / u).cast("int").alias(f"u{i}") for i, (p, u) in enumerate(zip(places, unit, strict=True))]
-    names = [f"u{i}" for i in range(len(unit))]
-    value = F.col(v.name).cast("string") if v.dtype == "uint64" else F.col(v.name)
-    rows = cells.where(F.col(v.name).isNotNull()).select(*keys, *[F.col(p).alias(f"p{i}") for i, p in enumerate(places)], value.alias("v"))
-
-    def write(key: tuple[int, ...], part: pd.DataFrame) -> pd.DataFrame:
-        block = np.full(unit, v.fill, v.dtype)
-        block[tuple(part[f"p{i}"].to_numpy() - key[i] * u for i, u in enumerate(unit))] = part["v"].astype(v.dtype).to_numpy()
-        if lay.shards:
-            data = encode_shard(block, lay.chunks, v.fill, preset, level)
-        else:
-            data = None if is_fill(block, v.fill) else press(block, preset, level)
-        if data:
-            _put("/".join([root, "c", *map(str, key)]), data)
-        return pd.DataFrame({"n": [len(data or b"")]})
-
-    rows.groupBy(*names).applyInPandas(write, "n long").agg(F.sum("n")).collect()
+    units = [f"u{i}" for i in range(len(unit))]
+    values = [(F.col(v.name).cast("string") if v.dtype == "uint64" else F.col(v.name)).alias(f"v{i}") for i, v in enumerate(variables)]
+    rows = cells.select(*keys, *[(F.col(p) % u).cast("int").alias(f"p{i}") for i, (p, u) in enumerate(zip(places, unit, strict=True))], *values)
+    rows = rows.repartition(*units).sortWithinPartitions(*units)
+
+    def save(key: tuple[int, ...], blocks: list[np.ndarray]) -> int:
+        total = 0
+        for v, block in zip(variables, blocks, strict=True):
+            if layouts[v.name].shards:
+                data = encode_shard(block, layouts[v.name].chunks, v.fill, preset, level)
+            else:
+                data = None if is_fill(block, v.fill) else press(block, preset, level)
+            if data:
+                _put("/".join([root, v.name, "c", *map(str, key)]), data)
+                total += len(data)
+        return total
+
+    def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, blocks, total = None, [], 0
+        for batch in batches:
+            at = np.stack([batch.column(u).to_numpy() for u in units], 1)
+            edges = [0, *(np.flatnonzero((at[1:] != at[:-1]).any(1)) + 1).tolist(), len(at)] if len(at) else []
+            for a, b in zip(edges[:-1], edges[1:], strict=True):
+                if (key := tuple(at[a].tolist())) != held:
+                    total += save(held, blocks) if held is not None else 0
+                    held, blocks = key, [np.full(unit, v.fill, v.dtype) for v in variables]
+                part = batch.slice(a, b - a)
+                place = [part.column(f"p{i}").to_numpy() for i in range(len(unit))]
+                for i, (v, block) in enumerate(zip(variables, blocks, strict=True)):
+                    column = part.column(f"v{i}")
+                    real = column.is_valid().to_numpy(zero_copy_only=False)
+                    found = column.drop_null()
+                    found = np.array(list(map(int, found.to_pylist())), np.uint64) if v.dtype == "uint64" else found.to_numpy(zero_copy_only=False)
+                    block[tuple(p[real] for p in place)] = found.astype(v.dtype)
+        total += save(held, blocks) if held is not None else 0
+        yield pa.RecordBatch.from_pydict({"n": [total]})
+
+    rows.mapInArrow(write, "n long").agg(F.sum("n")).collect()
 
 
 @dataclass(frozen=True)
@@ -254,35 +281,63 @@ class Array:
     def schema(self, name: str) -> T.StructType:
         return T.StructType([*(T.StructField(d, T.LongType()) for d in self.dims), T.StructField(name, SPARK_TYPES[self.doc["data_type"]])])
 
-    def cells(self, n: int, name: str) -> pd.DataFrame | None:
-        """The values of the n-th write unit that aren't fill, with their places."""
+    def block(self, n: int) -> np.ndarray | None:
+        """The n-th write unit, cut to the array; nothing if it isn't stored."""
         at, dtype = [int(i) for i in np.unravel_index(n, self.counts)], self.doc["data_type"]
         if (data := _get("/".join([self.path, "c", *map(str, at)]))) is None:
             return None
         codec = "blosc" if "blosc" in self.codecs else "zstd"
         if self.sharding:
-            block = decode_shard(data, self.unit, tuple(self.sharding["chunk_shape"]), dtype, self.fill, codec)
+            found = decode_shard(data, self.unit, tuple(self.sharding["chunk_shape"]), dtype, self.fill, codec)
         else:
-            block = np.frombuffer(unpress(data, codec, math.prod(self.unit) * np.dtype(dtype).itemsize), dtype).reshape(self.unit)
-        block = block[tuple(slice(0, min(u, s - i * u)) for i, u, s in zip(at, self.unit, self.doc["shape"], strict=True))]
-        real = ~np.isnan(block) if isinstance(self.fill, float) and math.isnan(self.fill) else block != self.fill
-        where = np.nonzero(real)
-        values = [Decimal(int(x)) for x in block[where]] if dtype == "uint64" else block[where].astype(np.float32) if dtype == "float16" else block[where]
-        return pd.DataFrame({**{d: w + i * u for d, w, i, u in zip(self.dims, where, at, self.unit, strict=True)}, name: values})
+            found = np.frombuffer(unpress(data, codec, math.prod(self.unit) * np.dtype(dtype).itemsize), dtype).reshape(self.unit)
+        return found[tuple(slice(0, min(u, s - i * u)) for i, u, s in zip(at, self.unit, self.doc["shape"], strict=True))]
+
+    def real(self, block: np.ndarray) -> np.ndarray:
+        """Which values aren't fill."""
+        return ~np.isnan(block) if isinstance(self.fill, float) and math.isnan(self.fill) else block != self.fill
+
+    def column(self, values: np.ndarray, real: np.ndarray) -> pa.Array:
+        if self.doc["data_type"] == "uint64":
+            return pa.array([Decimal(int(x)) if r else None for x, r in zip(values, real, strict=True)], pa.decimal128(20, 0))
+        kind = {"float16": np.float32, "uint8": np.int16, "uint16": np.int32, "uint32": np.int64}.get(self.doc["data_type"])
+        return pa.array(values if kind is None else values.astype(kind), mask=~real)
+
+
+def cells_of(arrays: dict[str, Array], n: int, rows: int = 1 << 18) -> Iterator[pa.RecordBatch]:
+    """The cells of the n-th write unit of arrays that have the same units: places, and every array's value or null."""
+    first = next(iter(arrays.values()))
+    blocks = {name: found for name, a in arrays.items() if (found := a.block(n)) is not None}
+    if not blocks:
+        return
+    real = {name: arrays[name].real(b) for name, b in blocks.items()}
+    where = np.nonzero(np.logical_or.reduce(list(real.values())))
+    at = np.unravel_index(n, first.counts)
+    for k in range(0, len(where[0]), rows):
+        part = tuple(w[k : k + rows] for w in where)
+        columns = [pa.array(w.astype(np.int64) + int(i) * u) for w, i, u in zip(part, at, first.unit, strict=True)]
+        for name, a in arrays.items():
+            columns.append(a.column(blocks[name][part], real[name][part]) if name in blocks else a.column(np.zeros(len(part[0]), a.doc["data_type"]), np.zeros(len(part[0]), bool)))
+        yield pa.RecordBatch.from_arrays(columns, names=[*first.dims, *arrays])
+
+
+def read_arrays(spark: SparkSession, paths: dict[str, str]) -> DataFrame:
+    """The cells of arrays (paths by column) that have the same dimensions, shape and write unit: a task reads the unit of all of them, nothing is joined."""
+    arrays = {name: Array.open(path) for name, path in paths.items()}
+    first, n = next(iter(arrays.values())), math.prod(next(iter(arrays.values())).counts)
+    schema = T.StructType([*first.schema("_").fields[:-1], *(a.schema(name).fields[-1] for name, a in arrays.items())])
+
+    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for k in batch.column("id").to_pylist():
+                yield from cells_of(arrays, k)
+
+    return spark.range(0, n, 1, n).mapInArrow(read, schema)
 
 
 def read_array(spark: SparkSession, path: str, name: str = "value") -> DataFrame:
     """An array's cells: one row for every value that isn't fill; columns are the dimensions' places and ``name``."""
-    array = Array.open(path)
-    n = math.prod(array.counts)
-
-    def read(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for frame in frames:
-            for k in frame["id"]:
-                if (found := array.cells(k, name)) is not None:
-                    yield found
-
-    return spark.range(n).repartition(min(n, 1000)).mapInPandas(read, array.schema(name))
+    return read_arrays(spark, {name: path})
 
 
 class ZarrSource(DataSource):
@@ -310,10 +365,8 @@ class ZarrReader(DataSourceReader):
     def partitions(self) -> list[InputPartition]:
         return [InputPartition(k) for k in range(math.prod(self.array.counts))]
 
-    def read(self, partition: InputPartition) -> Iterator[tuple]:
-        found = self.array.cells(partition.value, self.name)
-        if found is not None:
-            yield from zip(*(found[c].tolist() for c in found.columns), strict=True)
+    def read(self, partition: InputPartition) -> Iterator[pa.RecordBatch]:
+        yield from cells_of({self.name: self.array}, partition.value)
 
 
 def open_raster(spark: SparkSession, path: str, variables: list[str] | None = None) -> Raster:
@@ -338,9 +391,11 @@ def open_raster(spark: SparkSession, path: str, variables: list[str] | None = No
             raise ValueError(f"unknown variables {bad}; there are {sorted(data)}")
         data = {n: data[n] for n in variables}
     dims = max((d["dimension_names"] for d in data.values()), key=len)
-    out = None
-    for n in data:
-        one = read_array(spark, f"{path}/{n}", n)
+    out, alike = None, {}
+    for n, d in data.items():
+        alike.setdefault(json.dumps([d["dimension_names"], d["shape"], d["chunk_grid"]]), []).append(n)
+    for names in alike.values():
+        one = read_arrays(spark, {n: f"{path}/{n}" for n in names})
         out = one if out is None else out.join(one, [d for d in dims if d in one.columns and d in out.columns], "full")
     for d in dims:
         if d in axes:

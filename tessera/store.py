@@ -200,12 +200,13 @@ def read_config(spark: SparkSession, path: str, group: str | None = None) -> dic
         if v["categorical"]:
             rows = stats.categories(cells, n).collect()
             item["categories"] = [{"value": r.value, "color": r.color} for r in rows]
-            lo, hi = (float(rows[0].value), float(rows[-1].value)) if rows else (0.0, 1.0)
+            ends = (float(rows[0].value), float(rows[-1].value)) if rows else (0.0, 1.0)
+            found = spark.createDataFrame([ends], "lo double, hi double")
         else:
-            lo, hi = stats.limits(cells, n).first()
-        item["vmin"], item["vmax"] = stats.with_attrs(lo, hi, has)
+            found = stats.limits(cells, n)
+        item["vmin"], item["vmax"] = stats.with_attrs(found, has).first()
         item["ticks"] = display.nice_ticks(item["vmin"], item["vmax"])
-        item["colormap"] = display.colormap(has.get("colormap"))
+        item["colormap"] = display.colormap(has.get("cmap"))
         out.append(item)
     west, south, east, north = attrs["spatial:bbox"]
     crs = parse(p.doc["grid"]["crs"])

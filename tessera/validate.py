@@ -23,8 +23,8 @@ def is_valid(report: dict[str, list[str]]) -> bool:
     return not any(report.values())
 
 
-def validate(spark: SparkSession, path: str, group: str | None = None, plan: Plan | None = None) -> dict[str, list[str]]:
-    """Messages by check. ``plan`` compares the store with what it should be."""
+def validate(spark: SparkSession, path: str, group: str | None = None, plan: Plan | None = None, cells: bool = False) -> dict[str, list[str]]:
+    """Messages by check. ``plan`` compares the store with what it should be; ``cells`` reads all levels for missing blocks."""
     report: dict[str, list[str]] = {k: [] for k in KEYS}
     p = open_pyramid(spark, path, group)
     attrs = p.doc.get("attrs") or {}
@@ -51,6 +51,8 @@ def validate(spark: SparkSession, path: str, group: str | None = None, plan: Pla
     check_levels(p, seen, attrs, report)
     if plan is not None:
         check_plan(p, plan, report)
+    if cells and not report["structure"]:
+        check_cells(p, report)
     return report
 
 
@@ -86,6 +88,23 @@ def check_levels(p: Pyramid, assets: list[str], attrs: dict[str, Any], report: d
             report["spatial"].append(f"level {r.asset} has cells outside its shape")
 
 
+def missing_blocks(fine: DataFrame, coarse: DataFrame, extra: list[str] | None = None) -> DataFrame:
+    """``extra…, row, col`` of the blocks that a level should have for the cells of the one before it, and lacks."""
+    keys = [*(extra or []), "row", "col"]
+    whole = fine.select(*(extra or []), *(F.floor(F.col(c) / 2).cast("int").alias(c) for c in ("row", "col"))).distinct()
+    return whole.join(coarse.select(*keys), keys, "left_anti")
+
+
+def check_cells(p: Pyramid, report: dict[str, list[str]]) -> None:
+    """Whether every level has a block for all cells of the one before it."""
+    names = [v["name"] for v in p.doc["variables"]]
+    real = [f"`{n}` is not null" for n in names]
+    for k in range(1, p.n_levels):
+        lacking = missing_blocks(p.level(k - 1).where(" or ".join(real)), p.level(k), list(p.doc["grid"]["extra"])).count()
+        if lacking:
+            report["structure"].append(f"level {k} lacks {lacking} blocks")
+
+
 def check_plan(p: Pyramid, plan: Plan, report: dict[str, list[str]]) -> None:
     if len(plan.levels) != p.n_levels:
         report["structure"].append(f"{p.n_levels} levels, {len(plan.levels)} are planned")
