@@ -36,6 +36,46 @@ def test_rules(spark):
     assert len(license_scan.default_rules()) >= 200
 
 
+def plain_scan(text, rules):
+    """Every rule by itself, then each detection against all others."""
+    flat = "".join(" " + w for w in re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", re.sub("[A-Z]", lambda m: m[0].lower(), text or "")))
+    found = []
+    for rank, r in enumerate(rules):
+        if " " + r.keyword in flat:
+            for m in re.finditer(f" (?:{r.regex})(?= |$)", flat):
+                start = flat[: m.start()].count(" ")
+                found.append((start, start + m[0].count(" "), r.priority, rank, r.label))
+
+    def inside(d, other):
+        better = (other[2], other[1] - other[0], -other[3]) > (d[2], d[1] - d[0], -d[3])
+        return other[0] <= d[0] and d[1] <= other[1] and other[2] >= d[2] and better
+
+    return sorted(d for d in found if not any(inside(d, o) for o in found if o is not d))
+
+
+def test_detections_match_a_plain_scan(spark, small):
+    rules = license_scan.default_rules()
+    words = [r.regex for r in rules if not re.search(r"[\\[(?]", r.regex)]
+    rng = np.random.default_rng(5)
+    more = [" ".join(rng.choice(words, 6)) for _ in range(60)] + [" of the ".join(words), "Copyright (c) 2020. GNU GPL v2, GPLv3; CC BY-SA 4.0 / CC-BY 4.0", "mit license " * 3000]
+    docs = [(r.doc_id, r.text) for r in spark.read.parquet(f"{small}/documents.parquet").collect()] + [(-i, t) for i, t in enumerate(more, 1)]
+    got = license_scan.scan(spark.createDataFrame(docs, "doc_id long, text string")).select("doc_id", "detections", "labels", "base_labels").collect()
+    texts = dict(docs)
+    for r in got:
+        want = plain_scan(texts[r.doc_id], rules)
+        assert sorted(tuple(d) for d in r.detections) == want
+        assert r.labels == ",".join(sorted({d[4] for d in want} | set(filter(None, r.base_labels.split(",")))))
+
+
+def test_rules_hold_their_keywords():
+    rules = license_scan.default_rules()
+    assert len(rules) >= 400 and len({(r.regex, r.label) for r in rules}) >= 400
+    for r in rules:
+        assert re.search(r"(^|[ |?])" + re.escape(r.keyword), re.sub(r"\(\?:", "", r.regex).replace(")", "")), r
+    found = license_scan.any_of(["cc by", "cc0", "gpl", "c", "gnu"])
+    assert all(re.search(" " + found, f" {w}") for w in ("cc by x", "cc0", "gplv2", "cz", "gnu")) and not re.search(" " + found, " agpl lgnu g x")
+
+
 def test_scan_is_native_and_takes_empty_tables(spark, small, empty):
     plan = op2_license_scan(spark, small)._jdf.queryExecution().executedPlan().toString()
     assert "Python" not in plan and "Arrow" not in plan and "Exchange" not in plan
