@@ -17,6 +17,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -24,12 +25,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import batches_by_bytes, utf8
+from .common import batches_by_bytes, free, utf8, written
 
 Q = 8
 SEGMENT, STRIDE, RATE, MIN_BYTES = 48, 8, 0.07, 40
 BLOCK_BYTES = 1 << 20
 SLOTS = 22
+#: Pairs of a text's and a segment's q-grams that are looked at together, and the bytes a segment with its edits and band can reach over.
+MAX_PAIRS, REACH = 4_000_000, 256
 ODD = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -161,14 +164,22 @@ def whole(index: Index, text: np.ndarray, at: np.ndarray, doc: np.ndarray, segme
     return list(zip(doc[free].tolist(), segment[free].tolist(), strict=True))
 
 
+def hits(grams: np.ndarray, slots: np.ndarray, bits: int) -> np.ndarray:
+    """Which q-grams' slots are taken."""
+    return slots[(grams * ODD) >> np.uint64(64 - bits)]
+
+
 def search(index: Index, raw: np.ndarray, offsets: np.ndarray) -> list[tuple[int, int, int]]:
-    """Text number, segment and edits of every segment that aligns to a text within its budget."""
+    """Text number, segment and edits of every segment that aligns to a text within its budget.
+
+    Places that share q-grams are taken in ranges of a bounded number of pairs; ranges overlap by more than a segment's reach.
+    """
     text, at = normalise(raw, offsets)
     out = tiny(index, text, at)
     if not len(index.starts) or len(text) < Q:
         return as_rows(out)
     grams = grams_of(text)
-    spot = np.flatnonzero(index.slots[(grams * ODD) >> np.uint64(64 - SLOTS)])
+    spot = np.flatnonzero(hits(grams, index.slots, SLOTS))
     found = np.searchsorted(index.grams, grams[spot])
     found[found == len(index.grams)] = 0
     real = index.grams[found] == grams[spot]
@@ -176,10 +187,22 @@ def search(index: Index, raw: np.ndarray, offsets: np.ndarray) -> list[tuple[int
     doc = np.searchsorted(at, spot, "right") - 1
     real = spot + Q <= at[doc + 1]
     spot, found, doc = spot[real], found[real], doc[real]
+    upto = np.cumsum(index.at[found + 1] - index.at[found])
+    start = 0
+    while start < len(spot):
+        base = upto[start - 1] if start else 0
+        end = max(np.searchsorted(upto, base + MAX_PAIRS, "right"), np.searchsorted(spot, spot[start] + 2 * REACH), start + 1)
+        part = slice(start, end)
+        _search_range(index, text, at, spot[part], found[part], doc[part], out)
+        if end >= len(spot):
+            break
+        start = max(start + 1, int(np.searchsorted(spot, spot[end] - REACH)))
+    return as_rows(out)
+
+
+def _search_range(index: Index, text: np.ndarray, at: np.ndarray, spot: np.ndarray, found: np.ndarray, doc: np.ndarray, out: dict[tuple[int, int], int]) -> None:
     count = index.at[found + 1] - index.at[found]
     total = int(count.sum())
-    if not total:
-        return as_rows(out)
     posting = np.repeat(index.at[found] - (np.cumsum(count) - count), count) + np.arange(total)
     segment = index.owners[posting]
     diagonal = np.repeat(spot, count) - index.places[posting]
@@ -201,7 +224,7 @@ def search(index: Index, raw: np.ndarray, offsets: np.ndarray) -> list[tuple[int
     order = np.lexsort((band, segment, doc))
     band, segment, doc = band[order], segment[order], doc[order]
     if not len(band):
-        return as_rows(out)
+        return
     edge = np.flatnonzero(np.concatenate([[True], (np.diff(band) != 0) | (np.diff(segment) != 0) | (np.diff(doc) != 0)]))
     size = np.diff(np.append(edge, len(band)))
     edge = edge[size >= needed[segment[edge]]]
@@ -213,51 +236,121 @@ def search(index: Index, raw: np.ndarray, offsets: np.ndarray) -> list[tuple[int
         for k in np.flatnonzero(best <= index.edits[s]).tolist():
             key = (int(d[k]), int(s[k]))
             out[key] = min(out.get(key, 1 << 20), int(best[k]))
-    return as_rows(out)
 
 
 FOUND = T.ArrayType(T.StructType([T.StructField("item_id", T.LongType()), T.StructField("segments", T.IntegerType()), T.StructField("share", T.DoubleType()), T.StructField("edits", T.IntegerType())]))
 _ARROW = pa.list_(pa.struct([("item_id", pa.int64()), ("segments", pa.int32()), ("share", pa.float64()), ("edits", pa.int32())]))
 
 
+def _found(index: Index, raw: np.ndarray, offsets: np.ndarray) -> list[list[dict]]:
+    """Of each text, the items found."""
+    found, last = [[] for _ in offsets[1:]], {}
+    for d, s, e in search(index, raw, offsets):
+        item, size = int(index.items[s]), int(index.lengths[s])
+        mine = next((x for x in found[d] if x["item_id"] == item), None)
+        if mine is None:
+            found[d].append(mine := {"item_id": item, "segments": 0, "share": 0.0, "edits": 0})
+        mine["segments"] += 1
+        # segments overlap and come in order: what the ones before cover counts once
+        start = int(index.starts[s])
+        covered, counted = last.get((d, item), (start, start))
+        mine["share"] = min(1.0, mine["share"] + (start + size - max(start, covered)) / max(1, int(index.item_bytes[s])))
+        if start >= counted:
+            mine["edits"] += e
+            counted = start + size
+        last[d, item] = start + size, counted
+    return found
+
+
+def _with_found(df: DataFrame, text_col: str, index: Index) -> DataFrame:
+    shared, kept = df.sparkSession.sparkContext.broadcast(index), df.columns
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in batches_by_bytes(batches, text_col, 2 << 20):
+            found = pa.array(_found(shared.value, *utf8(part.column(text_col))), _ARROW)
+            yield pa.RecordBatch.from_arrays([*(part.column(c) for c in kept), found], names=[*kept, "found"])
+
+    return df.mapInArrow(run, T.StructType([*df.schema.fields, T.StructField("found", FOUND)]))
+
+
+def taken_slots(items: DataFrame, bits: int, segment: int, rate: float) -> np.ndarray:
+    """A table of ``2**bits`` slots, true where an item's q-gram falls. At most ``2**bits / 64`` numbers come to the driver, whatever the number of items."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in batches_by_bytes(batches, "t", 1 << 20):
+            slot = np.unique((build_index([0] * part.num_rows, part.column("t").to_pylist(), segment, rate).grams * ODD) >> np.uint64(64 - bits))
+            word, first = np.unique(slot >> np.uint64(6), return_index=True)
+            made = np.bitwise_or.reduceat(np.uint64(1) << (slot & np.uint64(63)), first) if len(slot) else np.zeros(0, np.uint64)
+            yield pa.RecordBatch.from_arrays([pa.array(word.astype(np.int64)), pa.array(made.view(np.int64))], names=["word", "bits"])
+
+    words = items.select("t").mapInArrow(run, "word long, bits long").groupBy("word").agg(F.bit_or("bits").alias("bits"))
+    table = np.zeros(1 << (bits - 6), np.uint64)
+    for r in words.toLocalIterator():
+        table[r.word] = np.int64(r.bits).view(np.uint64)
+    return np.unpackbits(table.view(np.uint8), bitorder="little").view(bool)
+
+
+def least_needed(items: DataFrame, segment: int, rate: float) -> int:
+    """The fewest q-grams that any segment must share with a text that holds it."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in batches_by_bytes(batches, "t", 1 << 20):
+            index = build_index([0] * part.num_rows, part.column("t").to_pylist(), segment, rate)
+            if len(found := index.needed[index.lengths >= Q]):
+                yield pa.RecordBatch.from_arrays([pa.array([int(found.min())], pa.int64())], names=["n"])
+
+    return items.select("t").mapInArrow(run, "n long").agg(F.min("n")).first()[0] or 1
+
+
+def possible(df: DataFrame, slots: np.ndarray, bits: int, needed: int, reach: int) -> DataFrame:
+    """The rows (column ``t``) whose texts have ``needed`` q-grams with taken slots within ``reach`` bytes, and those too short to have one."""
+    shared = df.sparkSession.sparkContext.broadcast(np.packbits(slots))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own = np.unpackbits(shared.value).view(bool)
+        for part in batches_by_bytes(batches, "t", 2 << 20):
+            text, at = normalise(*utf8(part.column("t")))
+            keep = np.diff(at) <= Q
+            if len(text) >= Q:
+                upto = np.concatenate([[0], np.cumsum(hits(grams_of(text), own, bits))])
+                ends = np.minimum(np.arange(len(upto)) + reach, len(upto) - 1)
+                full = np.flatnonzero(upto[ends] - upto >= needed)
+                keep[np.searchsorted(at, full[full < len(text)], "right") - 1] = True
+            yield part.filter(pa.array(keep))
+
+    return df.mapInArrow(run, df.schema)
+
+
 def annotate(df: DataFrame, benchmark: DataFrame, text_col: str = "text", item_col: str = "item_id", item_text: str = "text", segment: int = SEGMENT, rate: float = RATE, block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """Adds ``found``: for each benchmark item that a text holds, the segments found, the share of the item's bytes they cover and the edits (of those that don't overlap).
 
-    Nothing is shuffled. Items go to the tasks in blocks of about ``block_bytes`` bytes, each a pass over the texts.
+    A benchmark of ``block_bytes`` bytes at most is one index that goes to every task, and nothing is shuffled. A larger one first
+    makes a table of bounded size of its q-grams' slots, which lets the few texts that can hold an item through in one pass; these
+    are written, searched for one block of items after the other, and what is found is joined to the rows by the text's hash.
     """
     items = benchmark.where(F.col(item_text).isNotNull() & F.col(item_col).isNotNull()).select(F.col(item_col).cast("long").alias("i"), F.col(item_text).alias("t"))
     total = items.agg(F.sum(F.octet_length("t"))).first()[0] or 0
     blocks = max(1, -(-total // block_bytes))
-    kept = [c for c in df.columns if c != "found"]
-    out = df.select(kept).withColumn("found", F.array().cast(FOUND))
-    names = out.columns
+    df = df.drop("found")
+    index_of = lambda rows: build_index([r.i for r in rows], [r.t for r in rows], segment, rate)
+    if blocks == 1:
+        return _with_found(df, text_col, index_of(items.distinct().collect()))
+    items = written(items.distinct().withColumn("b", F.pmod(F.xxhash64("i", "t"), F.lit(blocks))).repartition("b"), "items")
+    bits = min(30, max(SLOTS, int(16 * total).bit_length()))
+    key = {"_h1": F.xxhash64(F.col(text_col)), "_h2": F.xxhash64(F.lit("text"), F.col(text_col))}
+    texts = df.select(*(v.alias(k) for k, v in key.items()), F.col(text_col).alias("t"))
+    needed = least_needed(items, segment, rate)
+    few = possible(texts, taken_slots(items, bits, segment, rate), bits, needed, REACH)
+    few = written(few.dropDuplicates(["_h1", "_h2"]), "possible")
+    parts = []
     for b in range(blocks):
-        rows = items.where(F.pmod(F.xxhash64("i", "t"), F.lit(blocks)) == b).distinct().collect()
-        index = df.sparkSession.sparkContext.broadcast(build_index([r.i for r in rows], [r.t for r in rows], segment, rate))
-
-        def run(batches: Iterator[pa.RecordBatch], index=index) -> Iterator[pa.RecordBatch]:
-            own = index.value
-            for part in batches_by_bytes(batches, text_col, 2 << 20):
-                found, last = part.column("found").to_pylist(), {}
-                for d, s, e in search(own, *utf8(part.column(text_col))):
-                    item, size = int(own.items[s]), int(own.lengths[s])
-                    mine = next((x for x in found[d] if x["item_id"] == item), None)
-                    if mine is None:
-                        found[d].append(mine := {"item_id": item, "segments": 0, "share": 0.0, "edits": 0})
-                    mine["segments"] += 1
-                    # segments overlap and come in order: what the ones before cover counts once
-                    start = int(own.starts[s])
-                    covered, counted = last.get((d, item), (start, start))
-                    mine["share"] = min(1.0, mine["share"] + (start + size - max(start, covered)) / max(1, int(own.item_bytes[s])))
-                    if start >= counted:
-                        mine["edits"] += e
-                        counted = start + size
-                    last[d, item] = start + size, counted
-                cols = [pa.array(found, _ARROW) if c == "found" else part.column(c) for c in names]
-                yield pa.RecordBatch.from_arrays(cols, names=names)
-
-        out = out.mapInArrow(run, out.schema)
-    return out
+        rows = items.where(F.col("b") == b).collect()
+        parts.append(written(_with_found(few, "t", index_of(rows)).where(F.size("found") > 0).select("_h1", "_h2", "found"), "found"))
+    every = reduce(DataFrame.unionByName, parts).groupBy("_h1", "_h2").agg(F.flatten(F.collect_list("found")).alias("found"))
+    free(items, few)
+    joined = df.withColumns(key).join(written(every, "found"), ["_h1", "_h2"], "left")
+    free(*parts)
+    return joined.select(*df.columns, F.coalesce("found", F.array().cast(FOUND)).alias("found"))
 
 
 def decontaminate(df: DataFrame, benchmark: DataFrame, text_col: str = "text", **options) -> DataFrame:

@@ -1,4 +1,5 @@
 import random
+import re
 
 import numpy as np
 import pyarrow as pa
@@ -34,7 +35,9 @@ def test_exact_and_near_passages_are_found_and_clean_ones_stay(spark):
         assert got[i] == got[100 + i] == {i}
     assert sum(got[200 + i] == {i} for i in range(20)) >= 18 and not any(got[300 + i] for i in range(60))
     blocks = {r.doc_id: {x.item_id for x in r.found} for r in decontaminate.annotate(docs, bench, block_bytes=1500).collect()}
-    assert blocks == got
+    assert {k: v for k, v in blocks.items()} == got
+    long = spark.createDataFrame([r for r in items if r[1] and len(r[1]) > 120], "item_id long, text string")
+    assert {r.doc_id: {x.item_id for x in r.found} for r in decontaminate.annotate(docs, long, block_bytes=1500).collect()} == got
     assert {r.doc_id for r in decontaminate.decontaminate(docs, bench).collect()} == {i for i, f in got.items() if not f}
 
 
@@ -92,3 +95,32 @@ def test_short_items_are_found_whole():
     texts = ["So: what is the tallest hill", "what is the tallest hillside", "what is the tall hill", "Yes!", "yes it is", "A zebra crossing.", "zebra crossing", "azebra crossing"]
     got = {(d, int(index.items[s])) for d, s, _ in decontaminate.search(index, *utf8(pa.array(texts)))}
     assert got == {(0, 1), (3, 2), (5, 3), (6, 3)}
+
+
+def test_a_very_long_text_and_a_phrase_that_all_items_share(monkeypatch):
+    rng = random.Random(12)
+    shared = "the same opening words stand in front of every single item here "
+    items = [shared + " ".join(rng.choice(WORDS) for _ in range(20)) for _ in range(150)]
+    index = decontaminate.build_index(list(range(150)), items)
+    texts = [(shared * 40) + items[7] + " " + shared * 40, " ".join(rng.choice(WORDS) for _ in range(400_000)) + " " + items[9]]
+    whole = decontaminate.search(index, *utf8(pa.array(texts)))
+    assert {7} <= {int(index.items[s]) for d, s, _ in whole if d == 0} and {9} <= {int(index.items[s]) for d, s, _ in whole if d == 1}
+    monkeypatch.setattr(decontaminate, "MAX_PAIRS", 5000)
+    assert decontaminate.search(index, *utf8(pa.array(texts))) == whole
+
+
+def test_query_matches_a_plain_search(spark, small):
+    """Items that stand in a text word for word, and no document with less than a few words of one."""
+    from tessera.llm.queries import op3_decontaminate
+
+    plain = lambda t: " ".join(re.sub(r"[^0-9a-z\u0080-\U0010ffff]+", " ", (t or "").lower()).split())
+    docs = {r.doc_id: plain(r.text) for r in spark.read.parquet(f"{small}/documents.parquet").collect()}
+    items = {r.item_id: plain(r.text) for r in spark.read.parquet(f"{small}/benchmark.parquet").collect()}
+    got = {(r.doc_id, r.item_id) for r in op3_decontaminate(spark, small).collect()}
+    for d, text in docs.items():
+        for i, item in items.items():
+            parts = [item[k : k + 55] for k in range(len(item) - 54)]
+            if any(p in text for p in parts) or item and f" {item} " in f" {text} ":
+                assert (d, i) in got
+            elif (d, i) in got:
+                assert min(edit_distance_in(item[k : k + 48], text) for k in range(0, len(item) - 47, 8)) <= 3
