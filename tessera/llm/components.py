@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import written
+from .common import free, written
 
 
 def connected(edges: DataFrame) -> DataFrame:
@@ -13,7 +13,10 @@ def connected(edges: DataFrame) -> DataFrame:
 
     Each round every node takes the smallest label around it, then its label's label; labels fall
     along chains of any length in a logarithmic number of rounds in practice. Minima are taken before the
-    shuffle; each round is written to the shared folder. Loops and repeated edges don't matter.
+    shuffle; each round is written to the shared folder and the one before it removed. A node or label that very many rows share
+    is met in joins alone, from written tables by plain exchanges, which run-time planning splits.
+
+    Defined cases: loops and repeated edges don't matter, edges with a null end are left out, and no edges give an empty table.
     """
     both = edges.select("a", "b").where("a <> b")
     both = written(both.unionByName(both.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct(), "edges")
@@ -23,6 +26,9 @@ def connected(edges: DataFrame) -> DataFrame:
         near = labels.join(around, "node").select("node", "label", F.least("label", "m").alias("m"))
         up = labels.select(F.col("node").alias("m"), F.col("label").alias("top"))
         jumped = written(near.join(up, "m").select("node", F.least("m", "top").alias("label"), (F.least("m", "top") < F.col("label")).alias("moved")), "labels")
+        free(labels)
         labels = jumped.select("node", "label")
+        labels._scratch = jumped._scratch
         if jumped.where("moved").isEmpty():
+            free(both)
             return labels

@@ -25,28 +25,39 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import batches_by_bytes, mix64, row_key, utf8, written
+from .common import batches_by_bytes, free, mix64, row_key, utf8, written
 from .components import connected
 
 BITS = 18
 BASE = 0x9E3779B97F4A7C15
 LEADER_ROUNDS = 2
 BLOCK_SETS, BLOCK_SHINGLES = 1024, 1_000_000
+SPAN = 1 << 21
 U = np.uint64
 
 
-_held: list[np.ndarray] = []
+@cache
+def _powers() -> tuple[np.ndarray, np.ndarray]:
+    """Powers of the base and of its inverse from 0 to ``SPAN``."""
+    return tuple(np.cumprod(np.concatenate([np.ones(1, U), np.full(SPAN, b, U)])) for b in (BASE, pow(BASE, -1, 1 << 64)))
 
 
-def _powers(n: int) -> list[np.ndarray]:
-    """Powers of the base and of its inverse from 0 to ``n`` at least; the longest that were needed are kept."""
-    if not _held or len(_held[0]) <= n:
-        _held[:] = [np.cumprod(np.concatenate([np.ones(1, U), np.full(n, b, U)])) for b in (BASE, pow(BASE, -1, 1 << 64))]
-    return _held
+def _one_word(raw: np.ndarray) -> np.uint64:
+    """The hash of one word of any length, a stretch at a time."""
+    power, total, scale = _powers()[0], U(0), U(1)
+    for at in range(0, len(raw), SPAN):
+        part = raw[at : at + SPAN].astype(U) + U(1)
+        total += (part * power[: len(part)]).sum(dtype=U) * scale
+        scale *= power[SPAN]
+    return total
 
 
 def word_hashes(raw: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """64-bit hashes of all words (runs of other bytes than space and \\t to \\r; A-Z as a-z) and each text's first word's number."""
+    """64-bit hashes of all words (runs of other bytes than space and \\t to \\r; A-Z as a-z) and each text's first word's number.
+
+    A word's hash is a polynomial in its bytes. Words are taken in stretches of ``SPAN`` bytes at most, so that memory is
+    bounded by the text and not by a table of powers as long.
+    """
     lower = np.arange(256, dtype=np.uint8)
     lower[65:91] += 32
     raw = lower[raw]
@@ -59,11 +70,20 @@ def word_hashes(raw: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.nd
         lasts = offsets[1:][np.diff(offsets) > 0] - 1
         ends[lasts] = inside[1:-1][lasts]
     s, e = np.flatnonzero(starts), np.flatnonzero(ends) + 1
-    size = 1 << max(16, int(len(raw)).bit_length())
-    power, inverse = _powers(size)
-    total = np.zeros(len(raw) + 1, U)
-    np.cumsum((raw.astype(U) + U(1)) * power[: len(raw)], out=total[1:])
-    return mix64((total[e] - total[s]) * inverse[s] + (e - s).astype(U)), np.searchsorted(s, offsets)
+    power, inverse = _powers()
+    out, k = np.zeros(len(s), U), 0
+    with np.errstate(over="ignore"):
+        while k < len(s):
+            j = int(np.searchsorted(e, s[k] + SPAN, "right"))
+            if j <= k:
+                out[k], k = _one_word(raw[s[k] : e[k]]), k + 1
+                continue
+            lo = s[k]
+            total = np.zeros(e[j - 1] - lo + 1, U)
+            np.cumsum((raw[lo : e[j - 1]].astype(U) + U(1)) * power[: len(total) - 1], out=total[1:])
+            out[k:j] = (total[e[k:j] - lo] - total[s[k:j] - lo]) * inverse[s[k:j] - lo]
+            k = j
+        return mix64(out + (e - s).astype(U)), np.searchsorted(s, offsets)
 
 
 def shingle_sets(raw: np.ndarray, offsets: np.ndarray, words: int) -> list[np.ndarray]:
@@ -177,6 +197,7 @@ def linked_within(nodes: list[bytes], asked: np.ndarray, found: list[np.ndarray]
         table = np.zeros((len(found), 2048), np.float32)
         table[owner[lo:hi], element[lo:hi] - at] = 1
         same += table[q] @ table[r].T
+    same = same.astype(np.int64)  # counts are exact below 2**24 elements; what they are multiplied by isn't
     link = 100 * same >= percent * (size[q][:, None] + size[r][None, :] - same)
     first: dict[bytes, int] = {}
     name = np.array([first.setdefault(x, i) for i, x in enumerate(nodes)])
@@ -245,6 +266,7 @@ def node_components(members: DataFrame, own: DataFrame, percent: int) -> DataFra
             merged = connected(tops).select(F.col("node").alias("label"), F.col("label").alias("top"))
             new = links.select(F.explode(F.array("a", "b")).alias("node")).distinct().join(labels, "node", "left_anti").select("node", label)
             labels = written(labels.unionByName(new).join(merged, "label", "left").select("node", F.coalesce("top", "label").alias("label")), "labels")
+        free(links)
         if turn == LEADER_ROUNDS:
             return labels
         # A bucket of two is done; a larger one is not while its nodes are in several components.
@@ -274,6 +296,7 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     named = nodes.select("node", "id").join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
     tops = named.groupBy("label").agg(F.min("id").alias("component_id"))
     names = written(named.join(tops, "label").select("node", "component_id"), "components")
+    free(nodes, members, own, labels)
     place = F.coalesce("node", F.encode(F.col("_k1").cast("string"), "utf-8"))  # nulls don't meet in one task
     out = signed.select(F.col("_id").alias(id_col), "n_shingles", "_k1", "_k2", place.alias("node")).join(names, "node", "left")
     out = out.withColumn("component_id", F.coalesce("component_id", id_col))
@@ -281,6 +304,6 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
 
 
 def dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
-    """``df`` with one document of each component."""
+    """``df`` with one document of each component; rows that repeat the kept document's id and text stay with it."""
     kept = near_duplicates(df, id_col, text_col, **options).where("kept").select("_k1", "_k2")
     return row_key(df, id_col, text_col).join(written(kept, "kept"), ["_k1", "_k2"], "left_semi").select(*df.columns)

@@ -3,9 +3,11 @@ import re
 from collections import Counter, defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from tessera.llm import minhash
+from tessera.llm.common import utf8
 from tessera.llm.components import connected
 
 
@@ -79,3 +81,28 @@ def test_components(spark):
     edges = [(b"%02d" % i, b"%02d" % (i + 1)) for i in range(40) if i != 20] + [(b"05", b"05")]
     got = {r.node: r.label for r in connected(spark.createDataFrame([(bytearray(a), bytearray(b)) for a, b in edges], "a binary, b binary")).collect()}
     assert {bytes(v) for k, v in got.items() if bytes(k) <= b"20"} == {b"00"} and {bytes(v) for k, v in got.items() if bytes(k) > b"20"} == {b"21"}
+
+
+def test_words_of_any_length_hash_alike_wherever_they_stand(monkeypatch):
+    texts = ["aa bb cc", "x" * 700, "bb " + "x" * 700 + " aa", "", None, " cc", "é" * 400 + " bb", "B" * 3000]
+    raw = utf8(pa.array(texts))
+    whole, at = minhash.word_hashes(*raw)
+    monkeypatch.setattr(minhash, "SPAN", 256)
+    minhash._powers.cache_clear()
+    cut, again = minhash.word_hashes(*raw)
+    minhash._powers.cache_clear()
+    assert (whole == cut).all() and (at == again).all() and at.tolist() == [0, 3, 4, 7, 7, 7, 8, 10, 11]
+    assert whole[3] == whole[4 + 1] and len(set(whole.tolist())) == 6
+
+
+def test_a_text_of_many_megabytes(spark):
+    long = "word one two three four five six seven eight nine " * 200_000 + "end " + "z" * 5_000_000
+    df = spark.createDataFrame([(1, long), (2, long.upper()), (3, "word one two")], "doc_id long, text string")
+    assert {r.doc_id: r.component_id for r in minhash.near_duplicates(df).collect()} == {1: 1, 2: 1, 3: 3}
+
+
+def test_no_edges(spark):
+    none = spark.createDataFrame([], "a binary, b binary")
+    assert connected(none).count() == 0
+    loops = spark.createDataFrame([(bytearray(b"a"), bytearray(b"a")), (None, bytearray(b"b"))], "a binary, b binary")
+    assert connected(loops).count() == 0
