@@ -1,6 +1,6 @@
 """Substring dedup by sliding spans of sentences.
 
-A text is cut into sentences (ended by ``.``, ``!``, ``?`` or a line break). One longer than ``UNIT_WORDS`` words is
+A text is cut into sentences (ended by ``.``, ``!``, ``?`` before a space, by the full stops of scripts that set none, or by a line break). One longer than ``UNIT_WORDS`` words is
 cut by its content: behind the word of smallest hash (all of them, if several are equal) of every ``WINDOW`` words in
 a row, so that its parts have ``WINDOW`` words at most and a passage is cut alike wherever it stands but for
 ``WINDOW - 1`` words at either end. From every sentence on, the shortest run of ``min_sentences`` or more sentences that has ``min_words`` words
@@ -33,6 +33,16 @@ UNIT_WORDS, WINDOW = 16, 9
 SEED = 70
 _SENTENCE = re.compile(r"\s*(?:\S*[^\s.!?][^\S\n]+)*\S+\s*")
 _WORD = re.compile(r"\s*\S+\s*")
+#: Sentence ends that no space follows, and scripts that put no spaces between words (a letter counts as a word there).
+_STOP = re.compile(r"(?<=[。！？｡।॥۔؟])(?=[^\s。！？｡।॥۔؟])")
+_CLOSE = r"\u0e00-\u0eff\u1000-\u109f\u1780-\u17ff\u3040-\u30ff\u3400-\u4dbf\u4e00-\u9fff\U00020000-\U0002fa1f"
+_HAS_CLOSE = re.compile(f"[{_CLOSE}]")
+_CLOSE_WORD = re.compile(rf"\s*(?:[{_CLOSE}]|[^\s{_CLOSE}]+)\s*")
+
+
+def words_of(text: str) -> list[str]:
+    """The words with the white space around them: joined, they are the text (unless it is blank)."""
+    return (_CLOSE_WORD if _HAS_CLOSE.search(text) else _WORD).findall(text)
 
 
 def cuts(words: list[str], owner: np.ndarray) -> np.ndarray:
@@ -54,8 +64,10 @@ def cuts(words: list[str], owner: np.ndarray) -> np.ndarray:
 
 def sentences(text: str) -> list[str]:
     """The sentences with the white space around them: joined, they are the text (unless it is blank)."""
-    whole = _SENTENCE.findall(text)
-    split = {k: w for k, s in enumerate(whole) if len(s) > 2 * UNIT_WORDS and len(w := _WORD.findall(s)) > UNIT_WORDS}
+    whole, least = _SENTENCE.findall(text), 2 * UNIT_WORDS
+    if not text.isascii():
+        whole, least = [p for s in whole for p in _STOP.split(s)], UNIT_WORDS
+    split = {k: w for k, s in enumerate(whole) if len(s) > least and len(w := words_of(s)) > UNIT_WORDS}
     if not split:
         return whole
     size = [len(w) for w in split.values()]
@@ -79,7 +91,7 @@ def runs(units: list[str], min_sentences: int, min_words: int) -> tuple[np.ndarr
 
     n = len(units)
     whole = [u.strip() for u in units]
-    counts = np.cumsum([0, *(len(u.split()) for u in whole)])
+    counts = np.cumsum([0, *(len(u.split()) if u.isascii() or not _HAS_CLOSE.search(u) else len(words_of(u)) for u in whole)])
     start = np.arange(n)
     end = np.maximum(np.searchsorted(counts, counts[:-1] + min_words), start + min_sentences)
     start = start[end <= n]
@@ -118,8 +130,8 @@ def spans(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_sen
 def later_spans(found: DataFrame) -> DataFrame:
     """The runs whose content stands at an earlier place too.
 
-    First places are aggregated before the shuffle and written: the join then has a plain exchange on either
-    side, and a run that a third of all documents hold is split at run time.
+    ``found`` is a written table: texts are cut and hashed once. First places are aggregated before the shuffle and written
+    too: the join then has a plain exchange on either side, and a run that a third of all documents hold is split at run time.
     """
     place = F.struct("_k1", "_k2", "start")
     first = found.groupBy("h1", "h2").agg(F.min(place).alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1").select("h1", "h2", "first")
@@ -129,7 +141,7 @@ def later_spans(found: DataFrame) -> DataFrame:
 def dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_sentences: int = 3, min_words: int = 25) -> DataFrame:
     """``df`` with the text that is left, ``n_sentences`` (before), ``n_removed`` and ``removed`` (structs ``start, stop`` of sentences)."""
     made = {"n_sentences": T.LongType(), "n_removed": T.LongType(), "removed": T.ArrayType(T.StructType([T.StructField("start", T.IntegerType()), T.StructField("stop", T.IntegerType())]))}
-    later = later_spans(spans(df, id_col, text_col, min_sentences, min_words)).distinct()
+    later = later_spans(written(spans(df, id_col, text_col, min_sentences, min_words), "runs")).distinct()
     per_doc = later.groupBy("_k1", "_k2").agg(F.collect_list(F.struct("start", "stop")).alias("_spans"))
     kept = [c for c in df.columns if c not in made]
     out = row_key(df.select(kept), id_col, text_col).join(per_doc, ["_k1", "_k2"], "left").select(*kept, "_spans")

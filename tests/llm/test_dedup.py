@@ -1,4 +1,5 @@
 import random
+import re
 
 from tessera.llm import line_dedup, span_dedup
 
@@ -65,6 +66,44 @@ def test_sentences_are_the_text():
         assert all(len(u.split()) <= span_dedup.UNIT_WORDS for u in span_dedup.sentences(t))
 
 
+def plain_sentences(text):
+    """Sentences by reading the text word by word; none is longer than a unit here."""
+    out, now = [], ""
+    for word in re.findall(r"\s*\S+\s*", text):
+        now += word
+        if word.strip()[-1] in ".!?" or "\n" in word[len(word.rstrip()) :]:
+            out.append(now)
+            now = ""
+    return out + [now] if now else out
+
+
+def test_sentences_match_a_plain_reading():
+    rng = random.Random(8)
+    for _ in range(300):
+        text = "".join(rng.choice(["a", "bc", "de.", "f!", "g?", "3.5", "..", "x.y"]) + rng.choice([" ", "  ", "\n", " \n "]) for _ in range(rng.randrange(1, 40)))
+        if all(len(s.split()) <= span_dedup.UNIT_WORDS for s in plain_sentences(text)):
+            assert span_dedup.sentences(text) == plain_sentences(text)
+
+
+def test_scripts_without_spaces(spark):
+    rng = random.Random(4)
+    han = lambda n: "".join(chr(rng.randrange(0x4E00, 0x9000)) for _ in range(n))
+    passage = "".join(han(12) + "。" for _ in range(6))
+    thai = "".join(chr(rng.randrange(0x0E01, 0x0E2F)) for _ in range(120))
+    assert len(span_dedup.sentences(passage)) == 6 and "".join(span_dedup.sentences(passage + thai)) == passage + thai
+    rows = [(1, han(40) + "。" + passage), (2, han(30) + "。" + passage + han(20)), (3, thai + " " + han(9)), (4, han(30) + "。" + thai)]
+    got = {r.doc_id: r.text for r in span_dedup.dedup(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got[1] == rows[0][1] and got[3] == rows[2][1] and passage not in got[2] and len(got[2]) <= 60 and len(got[4]) < len(rows[3][1]) - 60
+
+
+def test_a_text_of_many_megabytes(spark):
+    rng = random.Random(6)
+    long = " ".join(f"w{rng.randrange(10**6)}" + "." * (rng.random() < 0.08) for _ in range(1_200_000))
+    rows = [(1, long), (2, "At first. " + long[5_000_000:5_000_700] + " At last.")]
+    got = {r.doc_id: r.text for r in span_dedup.dedup(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert len(long) > 8_000_000 and got[1] == long and len(got[2]) < 450
+
+
 def test_spans_of_odd_rows(odd, empty):
     got = span_dedup.dedup(odd.withColumnRenamed("kept", "removed")).collect()
     assert len(got) == odd.count() and {r.doc_id: r.text for r in got}[3] == "   \n \t "
