@@ -262,15 +262,15 @@ def _found(index: Index, raw: np.ndarray, offsets: np.ndarray) -> list[list[dict
     return found
 
 
-def _with_found(df: DataFrame, text_col: str, index: Index) -> DataFrame:
+def _with_found(df: DataFrame, text_col: str, index: Index, into: str = "found") -> DataFrame:
     shared, kept = df.sparkSession.sparkContext.broadcast(index), df.columns
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in batches_by_bytes(batches, text_col, 2 << 20):
             found = pa.array(_found(shared.value, *utf8(part.column(text_col))), _ARROW)
-            yield pa.RecordBatch.from_arrays([*(part.column(c) for c in kept), found], names=[*kept, "found"])
+            yield pa.RecordBatch.from_arrays([*(part.column(c) for c in kept), found], names=[*kept, into])
 
-    return df.mapInArrow(run, T.StructType([*df.schema.fields, T.StructField("found", FOUND)]))
+    return df.mapInArrow(run, T.StructType([*df.schema.fields, T.StructField(into, FOUND)]))
 
 
 def taken_slots(items: DataFrame, bits: int, segment: int, rate: float) -> np.ndarray:
@@ -321,8 +321,8 @@ def possible(df: DataFrame, slots: np.ndarray, bits: int, needed: int, reach: in
     return df.mapInArrow(run, df.schema)
 
 
-def annotate(df: DataFrame, benchmark: DataFrame, text_col: str = "text", item_col: str = "item_id", item_text: str = "text", segment: int = SEGMENT, rate: float = RATE, block_bytes: int = BLOCK_BYTES) -> DataFrame:
-    """Adds ``found``: for each benchmark item that a text holds, the segments found, the share of the item's bytes they cover and the edits (of those that don't overlap).
+def annotate(df: DataFrame, benchmark: DataFrame, text_col: str = "text", item_col: str = "item_id", item_text: str = "text", segment: int = SEGMENT, rate: float = RATE, block_bytes: int = BLOCK_BYTES, into: str = "found") -> DataFrame:
+    """Adds ``found`` (or ``into``): for each benchmark item that a text holds, the segments found, the share of the item's bytes they cover and the edits (of those that don't overlap).
 
     A benchmark of ``block_bytes`` bytes at most is one index that goes to every task, and nothing is shuffled. A larger one first
     makes a table of bounded size of its q-grams' slots, which lets the few texts that can hold an item through in one pass; these
@@ -331,10 +331,10 @@ def annotate(df: DataFrame, benchmark: DataFrame, text_col: str = "text", item_c
     items = benchmark.where(F.col(item_text).isNotNull() & F.col(item_col).isNotNull()).select(F.col(item_col).cast("long").alias("i"), F.col(item_text).alias("t"))
     total = items.agg(F.sum(F.octet_length("t"))).first()[0] or 0
     blocks = max(1, -(-total // block_bytes))
-    df = df.drop("found")
+    df = df.drop(into)
     index_of = lambda rows: build_index([r.i for r in rows], [r.t for r in rows], segment, rate)
     if blocks == 1:
-        return _with_found(df, text_col, index_of(items.distinct().collect()))
+        return _with_found(df, text_col, index_of(items.distinct().collect()), into)
     items = written(items.distinct().withColumn("b", F.pmod(F.xxhash64("i", "t"), F.lit(blocks))).repartition("b"), "items")
     bits = min(30, max(SLOTS, int(16 * total).bit_length()))
     key = {"_h1": F.xxhash64(F.col(text_col)), "_h2": F.xxhash64(F.lit("text"), F.col(text_col))}
@@ -346,13 +346,13 @@ def annotate(df: DataFrame, benchmark: DataFrame, text_col: str = "text", item_c
     for b in range(blocks):
         rows = items.where(F.col("b") == b).collect()
         parts.append(written(_with_found(few, "t", index_of(rows)).where(F.size("found") > 0).select("_h1", "_h2", "found"), "found"))
-    every = reduce(DataFrame.unionByName, parts).groupBy("_h1", "_h2").agg(F.flatten(F.collect_list("found")).alias("found"))
+    every = reduce(DataFrame.unionByName, parts).groupBy("_h1", "_h2").agg(F.flatten(F.collect_list("found")).alias("_new"))
     free(items, few)
     joined = df.withColumns(key).join(written(every, "found"), ["_h1", "_h2"], "left")
     free(*parts)
-    return joined.select(*df.columns, F.coalesce("found", F.array().cast(FOUND)).alias("found"))
+    return joined.select(*df.columns, F.coalesce("_new", F.array().cast(FOUND)).alias(into))
 
 
 def decontaminate(df: DataFrame, benchmark: DataFrame, text_col: str = "text", **options) -> DataFrame:
-    """The rows whose texts hold no part of a benchmark item."""
-    return annotate(df, benchmark, text_col, **options).where(F.size("found") == 0).select([c for c in df.columns if c != "found"])
+    """The rows whose texts hold no part of a benchmark item, with all their columns."""
+    return annotate(df, benchmark, text_col, into="_parts", **options).where(F.size("_parts") == 0).select(df.columns)
