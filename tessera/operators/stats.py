@@ -1,4 +1,4 @@
-"""Statistics for display: percentile limits, categories, extents and automatic ranges. Each is one aggregate."""
+"""Statistics for display: percentile limits, categories, extents and automatic ranges."""
 
 from __future__ import annotations
 
@@ -20,10 +20,61 @@ def finite(column: str) -> Column:
     return F.when(~F.isnan(c) & (F.abs(c) != float("inf")), c)
 
 
+def _ranked(values: DataFrame, rank: int, low: float, high: float, rows: int, bins: int) -> float:
+    """The value (column ``v``) of a rank, by counting in bins and looking closer at the one that holds it.
+
+    A pass gives ``bins`` rows at most; a bin of equal values, or of ``rows`` values at most, ends the search.
+    """
+    while low < high:
+        place = F.least(F.floor((F.col("v") - low) / (high - low) * bins), F.lit(bins - 1))
+        inside = values.where(F.col("v").between(low, high))
+        counts = inside.groupBy(place.alias("b")).agg(F.count(F.lit(1)).alias("n"), F.min("v").alias("lo"), F.max("v").alias("hi")).orderBy("b").collect()
+        for r in counts:
+            if rank < r.n:
+                break
+            rank -= r.n
+        if r.n <= rows and r.lo < r.hi:
+            share = rank / (r.n - 1)
+            return inside.where(F.col("v").between(r.lo, r.hi)).agg(F.percentile("v", F.lit(share))).first()[0]
+        if (r.lo, r.hi) == (low, high):  # numbers too close to tell apart by bins
+            ordered = inside.groupBy("v").count().orderBy("v").toLocalIterator()
+            for r in ordered:
+                if rank < r["count"]:
+                    return r.v
+                rank -= r["count"]
+        low, high = r.lo, r.hi
+    return low
+
+
+def quantiles(cells: DataFrame, value: Column, shares: list[float], rows: int = 1_000_000, bins: int = 4096) -> list[float | None]:
+    """Exact quantiles, linear between ranks; nulls without data.
+
+    Up to ``rows`` values are one aggregate; more are counted in bins first, so that no task holds them all.
+    """
+    values = cells.select(value.alias("v")).where(F.col("v").isNotNull())
+    n, low, high = values.agg(F.count(F.lit(1)), F.min("v"), F.max("v")).first()
+    if n <= rows:
+        return list(values.agg(F.percentile("v", F.array(*map(F.lit, shares)))).first()[0] or [None] * len(shares))
+    found: dict[int, float] = {}
+    out = []
+    for share in shares:
+        at = (n - 1) * share
+        for rank in {int(at), min(n - 1, int(at) + 1)}:
+            if rank not in found:
+                found[rank] = _ranked(values, rank, low, high, rows, bins)
+        first, second = found[int(at)], found[min(n - 1, int(at) + 1)]
+        out.append(first if first == second else (int(at) + 1 - at) * first + (at - int(at)) * second)
+    return out
+
+
+def _one_row(cells: DataFrame, found: list[float | None]) -> DataFrame:
+    return cells.sparkSession.createDataFrame([tuple(found)], "lo double, hi double")
+
+
 def limits(cells: DataFrame, column: str) -> DataFrame:
     """``lo, hi``: the 2nd and the 98th percentile, interpolated; 0 and 1 without data."""
-    p = F.percentile(finite(column), F.array(F.lit(0.02), F.lit(0.98)))
-    return cells.agg(p.alias("p")).select(F.coalesce(F.col("p")[0], F.lit(0.0)).alias("lo"), F.coalesce(F.col("p")[1], F.lit(1.0)).alias("hi"))
+    found = _one_row(cells, quantiles(cells, finite(column), [0.02, 0.98]))
+    return found.select(F.coalesce("lo", F.lit(0.0)).alias("lo"), F.coalesce("hi", F.lit(1.0)).alias("hi"))
 
 
 def extent(cells: DataFrame, column: str) -> DataFrame:
@@ -37,7 +88,7 @@ def auto_range(cells: DataFrame, column: str, positive: bool = False) -> DataFra
     v = finite(column)
     if positive:
         v = F.when(v > 0, v)
-    found = cells.agg(F.percentile(v, F.array(F.lit(0.02), F.lit(0.98))).alias("p")).select(F.col("p")[0].alias("lo"), F.col("p")[1].alias("hi"))
+    found = _one_row(cells, quantiles(cells, v, [0.02, 0.98]))
     near, far = F.least(F.abs("lo"), F.abs("hi")), F.greatest(F.abs("lo"), F.abs("hi"))
     both = (F.col("lo") < 0) & (F.col("hi") > 0) & (near / far >= 0.5)
     return found.select(

@@ -20,6 +20,7 @@ from .operators import lookup, stats
 from .operators.blocks import halve
 from .operators.quantize import quantize
 from .plans.levels import build_plan
+from .scratch import stored
 from .validate import missing_blocks
 
 DOUBLE = "double"
@@ -147,7 +148,8 @@ def emb_pyramid_all(spark: SparkSession, sf: str) -> DataFrame:
     """Levels 0 to 4 of the embeddings' grid, told apart by ``level``."""
     out, cells = None, emb(spark, sf)
     for k in range(5):
-        cells = cells if k == 0 else halve(cells, [(V, "mean")])
+        # a level comes from the stored one before it: nothing is made twice
+        cells = stored(cells if k == 0 else halve(cells, [(V, "mean")]), f"emb-{k}")
         one = _doubles(cells, "v").select(F.lit(k).alias("level"), "row", "col", "v")
         out = one if out is None else out.unionByName(one)
     return out
@@ -174,7 +176,7 @@ register("ship_l2_all", lambda s, d: _levels(ship(s, d), 2, _SHIP, ["yr"]), sql_
 def ship_levels_counts(spark: SparkSession, sf: str) -> DataFrame:
     out, cells = None, ship(spark, sf)
     for k in range(4):
-        cells = cells if k == 0 else halve(cells, _SHIP, ["yr"])
+        cells = stored(cells if k == 0 else halve(cells, _SHIP, ["yr"]), f"ship-{k}")
         one = cells.agg(F.count(F.lit(1)).alias("cells")).select(F.lit(k).alias("level"), "cells")
         out = one if out is None else out.unionByName(one)
     return out

@@ -3,8 +3,6 @@
 from __future__ import annotations
 
 import json
-import tempfile
-import uuid
 from collections.abc import Callable, Iterable
 from functools import cache
 from typing import Any
@@ -22,6 +20,7 @@ from .operators.blocks import block_centres, halve
 from .plans import chunks
 from .plans.levels import build_plan, resolve_keepbits, resolve_methods
 from .queries import EMB, EV, GEO, SHIP, _all_levels, _doubles, _plan_grid, _read, _sql_doubles, _sql_rounded, _variable, emb, ev, geo, geo_raster, register, ship, sql_halve
+from .scratch import scratch_path
 from .sources import zarr
 from .store import Files, Pyramid, open_pyramid, read_config, to_pyramid
 from .validate import validate
@@ -31,14 +30,7 @@ RAISED, LOWERED = display.RAISED, display.LOWERED
 
 
 def _scratch(spark: SparkSession) -> str:
-    """A fresh folder under the shared one; a session on one machine may have a folder of its own."""
-    shared = spark.conf.get("spark.checkpoint.dir", None)
-    if not shared:
-        if not spark.sparkContext.master.startswith("local"):
-            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-        shared = tempfile.mkdtemp(prefix="tessera-")
-        spark.conf.set("spark.checkpoint.dir", shared)
-    return f"{shared.rstrip('/')}/pyramids/{spark.sparkContext.applicationId}/{uuid.uuid4().hex}"
+    return scratch_path(spark, "pyramid")
 
 
 def _once(spark: SparkSession, key: tuple, make: Callable[[str], Any]) -> str:

@@ -59,3 +59,13 @@ def test_statistics(spark):
     own = lambda **attrs: tuple(stats.with_attrs(spark.createDataFrame([(0.0, 1.0)], "lo double, hi double"), attrs).first())
     assert own(vmin=5, vmax=3) == own(vmin=True) == own(vmax=math.nan) == (0, 1)
     assert own(vmin=2) == (2.0, 3.0) and own(vmax=9) == (0.0, 9.0) and own(vmin=-1, vmax=4) == (-1, 4)
+
+
+def test_quantiles_of_many_values(spark):
+    rng = np.random.default_rng(3)
+    shares = [0.0, 0.02, 0.5, 0.98, 1.0]
+    for values in (rng.normal(size=5000), np.round(rng.normal(size=5000), 1), np.r_[np.zeros(4000), rng.normal(size=1000) * 1e9], np.full(300, 2.5), 1.0 + np.arange(300) % 3 * 2.0**-52):
+        df = spark.createDataFrame([(float(v),) for v in values], "v double")
+        got = stats.quantiles(df, stats.finite("v"), shares, rows=100, bins=8)
+        assert np.allclose(got, np.quantile(values, shares), rtol=1e-12, atol=0)
+    assert stats.quantiles(df.where("v > 9"), stats.finite("v"), [0.5]) == [None]
