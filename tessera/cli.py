@@ -74,6 +74,10 @@ def parser() -> argparse.ArgumentParser:
             p.add_argument("--no-validate", action="store_true")
             p.add_argument("--keepbits", action="append")
             p.add_argument("--zarr", help="also write a Zarr v3 hierarchy here")
+            p.add_argument("--encoding-preset", choices=("web", "zstd"))
+            p.add_argument("--compression-level", type=int, default=3)
+            p.add_argument("--preview", help="write a page here")
+            p.add_argument("--endpoint", help="an object store's address")
         p.add_argument("--dims", help="dimension columns, with commas between")
         p.add_argument("--var", action="append")
         p.add_argument("--crs")
@@ -110,7 +114,7 @@ def run(args: argparse.Namespace) -> int:
     if args.command == "plan":
         print(render(build_plan(detect(raster, args.crs, fills).grid, **options)))
         return 0
-    made = to_pyramid(raster, args.output, group=args.group, crs=args.crs, fill_values=fills, keepbits=pairs(args.keepbits, int), overwrite=args.overwrite, validate=not args.no_validate, **options)
+    made = to_pyramid(raster, args.output, group=args.group, crs=args.crs, fill_values=fills, keepbits=pairs(args.keepbits, int), overwrite=args.overwrite, validate=not args.no_validate, encoding_preset=args.encoding_preset, compression_level=args.compression_level, preview=args.preview, storage_options={"endpoint": args.endpoint} if args.endpoint else None, **options)
     if args.zarr:
         from .sources.zarr import export
 

@@ -89,8 +89,41 @@ def write_level(cells: DataFrame, plan: Plan, level: int, path: str) -> None:
     cells.repartition(*by).sortWithinPartitions(*plan.grid.extra, "row", "col").write.mode("overwrite").option("compression", "zstd").parquet(f"{path}/level={level}")
 
 
-def to_pyramid(raster: Raster | Found, path: str, *, group: str | None = None, crs: Any = None, fill_values: Mapping[str, Any] | None = None, resampling: Any = "auto", tile_size: Any = 512, max_levels: int | None = None, shard_size: Any = None, keepbits: Any = None, overwrite: bool = False, validate: bool = True) -> Result:
-    """Detects, plans and writes every level: each from the one before as it was stored, which also cuts the lineage."""
+def check_written(spark: SparkSession, plan: Plan, level: int, path: str) -> None:
+    """Raises if a level as it was stored has other columns than planned, cells outside its shape or not one cell where it should have some."""
+    cells, (ny, nx) = spark.read.parquet(f"{path}/level={level}"), plan.levels[level].shape
+    want = {*plan.grid.extra, "row", "col", *(v.name for v in plan.grid.variables)}
+    if set(cells.columns) != want:
+        raise OSError(f"level {level} was stored with columns {sorted(cells.columns)}; {sorted(want)} were planned")
+    ends = cells.agg(F.min("row"), F.max("row"), F.min("col"), F.max("col")).first()
+    if ends[0] is not None and not (0 <= ends[0] and ends[1] < ny and 0 <= ends[2] and ends[3] < nx):
+        raise OSError(f"level {level} was stored with cells outside its shape {ny}×{nx}")
+
+
+def connect(spark: SparkSession, options: Mapping[str, Any]) -> None:
+    """Makes an object store's options those of the session's file systems."""
+    from .viewer import object_store_settings
+
+    conf = spark.sparkContext._jsc.hadoopConfiguration()
+    for k, v in object_store_settings(options).items():
+        conf.set(k, v)
+
+
+def to_pyramid(raster: Raster | Found, path: str, *, group: str | None = None, crs: Any = None, fill_values: Mapping[str, Any] | None = None, resampling: Any = "auto", tile_size: Any = 512, max_levels: int | None = None, shard_size: Any = None, keepbits: Any = None, overwrite: bool = False, validate: bool = True, encoding_preset: str | None = None, compression_level: int = 3, preview: str | None = None, storage_options: Mapping[str, Any] | None = None) -> Result:
+    """Detects, plans and writes every level: each from the one before as it was stored, which also cuts the lineage.
+
+    ``encoding_preset`` (``web`` or ``zstd``, at ``compression_level``) also writes the pyramid as Zarr, into its folder ``zarr``;
+    ``preview`` is where a page with its configuration goes; ``storage_options`` are an object store's (``endpoint``, ``region``,
+    ``key``, ``secret``, ``token``, ``anonymous``).
+    """
+    if not isinstance(path, str):
+        raise TypeError(f"a place is a text, not {type(path).__name__}")
+    if encoding_preset is not None:
+        from .sources.zarr import check_preset
+
+        check_preset(encoding_preset, compression_level)
+    if storage_options is not None:
+        connect((raster.cells if isinstance(raster, Found) else raster.df).sparkSession, storage_options)
     found = raster if isinstance(raster, Found) else detect(raster, crs, fill_values)
     plan = build_plan(found.grid, resampling, tile_size, max_levels, shard_size, keepbits)
     spark, here = found.cells.sparkSession, group_path(path, group)
@@ -101,7 +134,7 @@ def to_pyramid(raster: Raster | Found, path: str, *, group: str | None = None, c
         if not overwrite:
             raise FileExistsError(f"{here} holds a pyramid; overwrite=True replaces it")
         for n in names:
-            if n == MARKER or n.startswith("level="):
+            if n in (MARKER, "zarr") or n.startswith("level="):
                 files.delete(f"{here}/{n}")
     dtypes, timings, began = {v.name: v.dtype for v in found.grid.variables}, {}, time.time()
     chosen = [(v, plan.methods[v.name]) for v in found.grid.variables]
@@ -109,6 +142,7 @@ def to_pyramid(raster: Raster | Found, path: str, *, group: str | None = None, c
         at = time.time()
         cells = found.cells if k == 0 else halve(spark.read.parquet(f"{here}/level={k - 1}"), chosen, found.grid.extra)
         write_level(quantize(cells, plan.keepbits, dtypes), plan, k, here)
+        check_written(spark, plan, k, here)
         timings[f"level_{k}"] = time.time() - at
     source = raster.attrs if isinstance(raster, Raster) else {}
     files.write(f"{here}/{MARKER}", json.dumps(describe(found, plan, source, raster if isinstance(raster, Raster) else None)))
@@ -118,6 +152,16 @@ def to_pyramid(raster: Raster | Found, path: str, *, group: str | None = None, c
     report = check(spark, path, group=group, plan=plan) if validate else {}
     if validate and not is_valid(report):
         log.warning("the pyramid at %s isn't valid: %s", here, report)
+    if encoding_preset is not None:
+        from .sources.zarr import export
+
+        at = time.time()
+        export(open_pyramid(spark, path, group), f"{here}/zarr", encoding_preset, compression_level)
+        timings["zarr"] = time.time() - at
+    if preview is not None:
+        from .viewer import page, store_name
+
+        files.write(preview, page(read_config(spark, path, group), store_name(here)))
     timings["total"] = time.time() - began
     return Result(here, plan, report, timings)
 

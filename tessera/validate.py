@@ -23,11 +23,20 @@ def is_valid(report: dict[str, list[str]]) -> bool:
     return not any(report.values())
 
 
+def _safely(report: dict[str, list[str]], key: str, check, *args) -> None:
+    """A check whose own error, at content of no known form, is one more message."""
+    try:
+        check(*args)
+    except Exception as e:
+        report[key].append(f"content of an unknown form: {type(e).__name__}: {e}")
+
+
 def validate(spark: SparkSession, path: str, group: str | None = None, plan: Plan | None = None, cells: bool = False) -> dict[str, list[str]]:
     """Messages by check. ``plan`` compares the store with what it should be; ``cells`` reads all levels for missing blocks."""
     report: dict[str, list[str]] = {k: [] for k in KEYS}
     p = open_pyramid(spark, path, group)
-    attrs = p.doc.get("attrs") or {}
+    attrs = p.doc.get("attrs") if isinstance(p.doc, dict) else None
+    attrs = attrs if isinstance(attrs, dict) else {}
     declared = attrs.get("zarr_conventions")
     ids = {c.get("uuid") for c in declared if isinstance(c, dict)} if isinstance(declared, list) else set()
     report["zarr_conventions"] += [f"the convention {k!r} isn't declared" for k, c in CONVENTIONS.items() if c["uuid"] not in ids]
@@ -41,6 +50,9 @@ def validate(spark: SparkSession, path: str, group: str | None = None, plan: Pla
         report["proj"].append("no projection is declared")
     seen: list[str] = []
     for x in layout:
+        if not isinstance(x, dict):
+            report["multiscales"].append(f"an entry of the layout isn't a mapping: {x!r}")
+            continue
         asset = str(x.get("asset"))
         if (origin := x.get("derived_from")) is not None:
             if str(origin) not in seen:
@@ -48,11 +60,11 @@ def validate(spark: SparkSession, path: str, group: str | None = None, plan: Pla
             if "transform" not in x:
                 report["multiscales"].append(f"{asset} is derived and has no transform")
         seen.append(asset)
-    check_levels(p, seen, attrs, report)
+    _safely(report, "structure", check_levels, p, seen, attrs, report)
     if plan is not None:
-        check_plan(p, plan, report)
+        _safely(report, "structure", check_plan, p, plan, report)
     if cells and not report["structure"]:
-        check_cells(p, report)
+        _safely(report, "structure", check_cells, p, report)
     return report
 
 

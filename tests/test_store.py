@@ -67,6 +67,24 @@ def test_methods_of_a_raster(spark, tmp_path):
     assert is_valid(r.to_pyramid(str(tmp_path / "p"), crs=3031, tile_size=8).validation)
 
 
+def test_options_of_a_pyramid(spark, tmp_path):
+    from tessera.viewer import check_store
+
+    path = str(tmp_path / "p")
+    made = to_pyramid(raster(spark, 20, 20, 1), path, crs=3031, tile_size=8, encoding_preset="zstd", compression_level=5, preview=str(tmp_path / "page.html"), storage_options={"region": "eu"})
+    assert check_store(f"{path}/zarr") and "zarr" in made.timings and "Δmelt₂" in json.loads(f'"{(tmp_path / "page.html").read_text().split(chr(34) + "long_name" + chr(34) + ": " + chr(34))[1].split(chr(34))[0]}"')
+    assert to_pyramid(raster(spark, 20, 20, 1), path, crs=3031, tile_size=8, overwrite=True).path == path and not (tmp_path / "p/zarr").exists()
+    for bad, error in (({"encoding_preset": "fast"}, ValueError), ({"storage_options": {"x": 1}}, TypeError)):
+        with pytest.raises(error):
+            to_pyramid(raster(spark, 20, 20, 1), str(tmp_path / "q"), crs=3031, **bad)
+    with pytest.raises(TypeError):
+        to_pyramid(raster(spark, 20, 20, 1), tmp_path / "q", crs=3031)
+    doc = json.loads((tmp_path / "p/_pyramid.json").read_text())
+    for damage in ({"attrs": 7}, {"levels": 3}, {"attrs": doc["attrs"] | {"multiscales": {"layout": [1, {"asset": "0"}]}}}, {"grid": None}):
+        Files(spark).write(f"{path}/_pyramid.json", json.dumps(doc | damage))
+        assert not is_valid(validate(spark, path, plan=made.plan, cells=True))
+
+
 def test_errors_come_before_writing(spark, tmp_path):
     with pytest.raises(ValueError):
         to_pyramid(raster(spark), str(tmp_path / "no"), crs=3031, keepbits={"mask": 3})
