@@ -18,12 +18,13 @@ from .grid import Grid, GridError, Raster, Variable, axis_values, detect, sentin
 from .operators import lookup, stats
 from .operators.blocks import block_centres, halve
 from .plans import chunks
-from .plans.levels import build_plan, resolve_keepbits, resolve_methods
+from .plans.levels import build_plan, dims_text, resolve_keepbits, resolve_methods, size_text
 from .queries import EMB, EV, GEO, SHIP, _all_levels, _doubles, _plan_grid, _read, _sql_doubles, _sql_rounded, _variable, emb, ev, geo, geo_raster, register, ship, sql_halve
 from .scratch import scratch_path
 from .sources import zarr
 from .store import Files, Pyramid, open_pyramid, read_config, to_pyramid
-from .validate import validate
+from .validate import close, validate
+from .viewer import browser_url, check_store, store_name
 
 _made: dict[tuple, str] = {}
 RAISED, LOWERED = display.RAISED, display.LOWERED
@@ -436,3 +437,19 @@ register("colormap_values", colormap_values, _ramp_sql(list(_stops("viridis_r"))
 register("symmetric_maps", lambda s, d: _rows(s, ((n, display.symmetric_colormap(n)) for n in display.COLORMAPS), "name string, symmetric string"), f"SELECT name, CASE WHEN name = 'rdbu' THEN 'rdbu' ELSE 'rdbu_r' END AS symmetric FROM (SELECT unnest({list(display.COLORMAPS)}) AS name)")
 register("point_readout", lambda s, d: _doubles(lookup.sample([(stored_emb(s, d).level(v.index), v.transform, v.shape) for v in stored_emb(s, d).plan.levels], 10.2, -20.3), "v").select("row", "col", "v"), f"SELECT row, col, CAST(v AS DOUBLE) AS v FROM ({EMB}) WHERE row = 20 AND col = 10")
 register("axis_of_orders", lambda s, d: _rows(s, enumerate(float(v) for v in axis_values(geo_raster(s, d).df, "lon")), "k int, v double"), "SELECT CAST(row_number() OVER (ORDER BY v) - 1 AS INT) AS k, CAST(v AS DOUBLE) AS v FROM (SELECT DISTINCT 0.5 + o_custkey % 360 AS v FROM orders)")
+
+
+def store_checks(spark: SparkSession, sf: str) -> DataFrame:
+    """What a check says of an exported pyramid, one of its levels, one of its arrays, its parent folder and no place at all."""
+    path = stored_zarr(spark, sf, "web")
+    places = {"pyramid": path, "level": f"{path}/0", "array": f"{path}/0/qty", "parent": path.rpartition("/")[0], "nothing": f"{path}/none", "empty": "", "scheme": "ftp://a/b"}
+    return _rows(spark, ((k, check_store(p).code or "ok") for k, p in places.items()), "place string, outcome string")
+
+
+register("store_checks", store_checks, "SELECT * FROM (VALUES ('pyramid', 'ok'), ('level', 'not_pyramid'), ('array', 'not_group'), ('parent', 'not_zarr'), ('nothing', 'not_found'), ('empty', 'empty'), ('scheme', 'unsupported_scheme')) AS t(place, outcome)")
+register("store_names", lambda s, d: _rows(s, ((r.r_regionkey, store_name(f"s3://maps/{r.r_name}.zarr/"), browser_url(f"s3://maps/{r.r_name}.zarr")) for r in _read(s, d, "region").collect()), "k int, name string, url string"),
+    "SELECT r_regionkey AS k, r_name AS name, 'https://maps.s3.amazonaws.com/' || replace(r_name, ' ', '%20') || '.zarr' AS url FROM region")
+register("bounds_close", lambda s, d: _rows(s, ((r.n_nationkey, close([r.n_nationkey, 1.0], [r.n_nationkey * (1 + 1e-10), 1.0]), close([float(r.n_nationkey)], [r.n_nationkey + 1e-6]), close([1.0], [1.0, 2.0])) for r in _read(s, d, "nation").collect()), "k int, near boolean, far boolean, longer boolean"),
+    "SELECT n_nationkey AS k, true AS near, n_nationkey * 1e-9 >= 1e-6 AS far, false AS longer FROM nation")
+register("plan_text", lambda s, d: _rows(s, ((v.index, size_text(v.nbytes), dims_text(v.shape)) for v in _plan_grid(s, d).levels), "level int, size string, shape string"),
+    _PG + " SELECT level, CASE WHEN b >= 1048576 THEN format('{:.1f} MiB', b / 1048576.0::DOUBLE) ELSE format('{:.1f} KiB', b / 1024.0::DOUBLE) END AS size, CASE WHEN ny = nx THEN ny || '²' ELSE ny || '×' || nx END AS shape FROM (SELECT *, CAST(ny AS BIGINT) * nx * 4 AS b FROM p)")
