@@ -27,11 +27,11 @@ def vocabulary(name: str = TOKENIZER) -> tuple[dict[bytes, int], str]:
 
 
 def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Documents and pages in one table: hosts, suffixes and declarations come from the pages, sources count as hosts."""
+    """Documents and pages in one table: hosts, suffixes and declarations come from the pages, sources count as hosts. Ids are whole numbers throughout: a page's ``doc_id`` is -1 - its id."""
     docs, pages = table(spark, sf_dir, "documents"), table(spark, sf_dir, "pages")
     none = F.lit(None).cast("long")
     text = docs.select(F.col("doc_id").cast("long").alias("doc_id"), none.alias("page_id"), "text", F.col("source").alias("host"), language_id.declared_in_markup(F.col("text")).alias("said"))
-    web = pages.select(none.alias("doc_id"), F.col("page_id").cast("long").alias("page_id"), language_id.text_of_markup(F.col("html")).alias("text"), url_filter.host(F.col("url")).alias("host"), language_id.declared_in_markup(F.col("html")).alias("said"))
+    web = pages.select((-1 - F.col("page_id").cast("long")).alias("doc_id"), F.col("page_id").cast("long").alias("page_id"), language_id.text_of_markup(F.col("html")).alias("text"), url_filter.host(F.col("url")).alias("host"), language_id.declared_in_markup(F.col("html")).alias("said"))
     found = language_id.identify(text.unionByName(web), language_id.fit(docs), host_col="host", declared=F.col("said"), carry=("page_id",))
     return found.select("doc_id", "page_id", "language", "confidence", "declared", "n_grams", "accepted")
 

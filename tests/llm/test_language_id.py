@@ -100,7 +100,7 @@ def test_all_labels_short_words_and_long_tags(spark):
 def test_query_judges_documents_and_pages(spark, small):
     got = op1_language_id(spark, small).collect()
     said = {r.page_id: r for r in got if r.page_id is not None}
-    assert len(said) == 50 and len(got) == 250 and all(r.declared for r in said.values())
+    assert len(said) == 50 and len(got) == 250 and all(r.declared and r.doc_id == -1 - r.page_id for r in said.values())
     assert sum(r.language == r.declared for r in said.values()) >= 45
 
 
