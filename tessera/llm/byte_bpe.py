@@ -182,7 +182,7 @@ class Codec:
         return b"".join(out)
 
 
-@lru_cache(1)
+@lru_cache(2)
 def _codec(model: bytes, vocabulary: tuple[bytes, ...], numbers: tuple[int, ...], pattern: str) -> Codec:
     return Codec(dict(zip(vocabulary, numbers, strict=True)), pattern, model)
 
