@@ -1,6 +1,6 @@
 """Command line: ``python -m tessera.cli plan | convert | validate | preview | version``.
 
-Input is a Parquet folder of labelled cells (one column a dimension, one a variable) or a Zarr v3 group. Exit codes:
+Input is a Parquet folder of labelled cells (one column a dimension, one a variable), a Zarr v3 group, a GeoTIFF or a classic NetCDF file. Exit codes:
 2 for wrong usage or something missing, 1 for a pyramid that isn't valid.
 """
 
@@ -52,6 +52,17 @@ def open_input(spark: SparkSession, path: str, dims: list[str] | None, variables
         from .sources.zarr import open_raster
 
         return open_raster(spark, path, variables)
+    if path.lower().endswith((".tif", ".tiff")):
+        from .sources.geotiff import open_geotiff
+
+        raster = open_geotiff(spark, path)
+        if bad := [v for v in variables or () if v not in raster.variables]:
+            raise ValueError(f"unknown variables {bad}; there are {sorted(raster.variables)}")
+        return raster
+    if path.lower().endswith(".nc"):
+        from .sources.netcdf import open_netcdf
+
+        return open_netcdf(spark, path, variables)
     df = spark.read.parquet(path)
     names = dims or [c for c in df.columns if c in ("time", "y", "x", "lat", "lon", "latitude", "longitude")]
     kept = variables or [c for c in df.columns if c not in names]

@@ -84,6 +84,8 @@ class Raster:
     scalars: Mapping[str, Mapping[str, Any]] = field(default_factory=dict)
     #: Dimensions whose coordinate is in a column of another name.
     named: Mapping[str, str] = field(default_factory=dict)
+    #: Sorted values of dimensions that are known without reading the cells.
+    axes: Mapping[str, np.ndarray] = field(default_factory=dict)
 
     def plan(self, *, crs: Any = None, fill_values: Mapping[str, Any] | None = None, **options: Any) -> Any:
         """The pyramid that ``to_pyramid`` would write, without writing it."""
@@ -294,7 +296,8 @@ def detect(raster: Raster, crs: Any = None, fill_values: Mapping[str, Any] | Non
         raise GridError("no variable has both spatial dimensions")
     if unknown := [n for n in fill_values or {} if n not in kept]:
         raise ValueError(f"fill_values has unknown variables {unknown}; there are {sorted(kept)}")
-    xs, ys = axis_values(raster.df, column(x)), axis_values(raster.df, column(y))
+    along = lambda d: np.asarray(raster.axes[d]) if d in raster.axes else axis_values(raster.df, column(d))
+    xs, ys = along(x), along(y)
     if not len(xs) or not len(ys):
         raise GridError("the raster has no cells")
     if raster.coords.get(x, {}).get("order") == "descending":
@@ -314,7 +317,7 @@ def detect(raster: Raster, crs: Any = None, fill_values: Mapping[str, Any] | Non
         col = F.when(place >= wrap.split, place - wrap.split).otherwise(place + (wrap.places[tail] if wrap.split else 0))
         centres = wrap.first + dx * np.arange(nx)
     extra = tuple(d for d in raster.dims if d not in (x, y))
-    labels = {d: axis_values(raster.df, column(d)).tolist() for d in extra}
+    labels = {d: along(d).tolist() for d in extra}
     variables, columns = [], []
     for n, attrs in kept.items():
         dtype = str(attrs.get("dtype") or {"float": "float32", "double": "float64", "tinyint": "int8", "smallint": "int16", "int": "int32", "bigint": "int64", "boolean": "bool"}[dict(raster.df.dtypes)[n]])
