@@ -15,8 +15,10 @@ from pyspark.sql import SparkSession
 
 from .grid import GridError, Raster, detect
 from .plans.levels import build_plan, render
-from .store import open_pyramid, read_config, to_pyramid
+from .serve import serve_viewer
+from .store import Files, group_path, open_pyramid, read_config, to_pyramid
 from .validate import is_valid, validate
+from .viewer import page, store_name
 
 VERSION = "0.1.0"
 
@@ -101,6 +103,9 @@ def parser() -> argparse.ArgumentParser:
         p = sub.add_parser(name)
         p.add_argument("path")
         p.add_argument("--group")
+        if name == "preview":
+            p.add_argument("--html", help="write a page here")
+            p.add_argument("--serve", type=int, metavar="PORT", help="serve a page and the pyramid until stopped")
     return top
 
 
@@ -115,7 +120,15 @@ def run(args: argparse.Namespace) -> int:
             print(f"{k}: {'ok' if not messages else '; '.join(messages)}")
         return 0 if is_valid(report) else 1
     if args.command == "preview":
-        print(json.dumps(read_config(spark, args.path, args.group), indent=1))
+        config = read_config(spark, args.path, args.group)
+        if args.html:
+            Files(spark).write(args.html, page(config, store_name(args.path)))
+        if args.serve is not None:
+            server = serve_viewer(spark, [group_path(args.path, args.group)], port=args.serve)
+            print("http://{}:{}/".format(*server.server_address))
+            server.serve_forever()
+        if not args.html:
+            print(json.dumps(config, indent=1))
         return 0
     raster = open_input(spark, args.input, args.dims.split(",") if args.dims else None, args.var)
     options = {"resampling": pairs(args.resampling) or "auto", "tile_size": pairs(args.tile_size, int) or 512, "max_levels": args.max_levels, "shard_size": pairs(args.shard_size, shard)}

@@ -214,10 +214,11 @@ def effective_fill(dtype: str, declared: Any, flags: list | None = None) -> Any:
 
 
 def is_lonlat(raster: Raster, x: str, y: str, xs: np.ndarray, ys: np.ndarray) -> bool:
-    names = (x in ("lon", "longitude") and y in ("lat", "latitude"))
+    names = x in ("lon", "longitude") and y in ("lat", "latitude")
     units = [str(raster.coords.get(d, {}).get("units", "")) for d in (x, y)]
     standard = [str(raster.coords.get(d, {}).get("standard_name", "")) for d in (x, y)]
     rotated = any(s.startswith("grid_") for s in standard)
+    names |= standard == ["longitude", "latitude"]
     degrees = all(u.lower().startswith("degree") for u in units)
     inside = xs.min() >= -180 and xs.max() <= 360 and ys.min() >= -90 and ys.max() <= 90
     return (names or degrees) and not rotated and bool(inside)

@@ -61,3 +61,15 @@ def frame(cells: DataFrame, indices: Mapping[str, object]) -> DataFrame:
 def strided(cells: DataFrame, step: int) -> DataFrame:
     """Every ``step``-th row and column, for a quick look; the limit is the feature."""
     return cells.where((F.col("row") % step == 0) & (F.col("col") % step == 0))
+
+
+def frame_values(levels: Iterable[tuple[DataFrame, tuple[int, int]]], indices: Mapping[str, object], most: int = 200_000) -> DataFrame:
+    """The cells of one slice at the finest level of those given (finest first), every n-th row and column so that ``most`` are left at most.
+
+    The limit is the feature: a quick look at a frame's values.
+    """
+    cells, (ny, nx) = next(iter(levels))
+    step = 1
+    while math.ceil(ny / step) * math.ceil(nx / step) > most:
+        step += 1
+    return strided(frame(cells, indices), step)

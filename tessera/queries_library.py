@@ -453,3 +453,15 @@ register("bounds_close", lambda s, d: _rows(s, ((r.n_nationkey, close([r.n_natio
     "SELECT n_nationkey AS k, true AS near, n_nationkey * 1e-9 >= 1e-6 AS far, false AS longer FROM nation")
 register("plan_text", lambda s, d: _rows(s, ((v.index, size_text(v.nbytes), dims_text(v.shape)) for v in _plan_grid(s, d).levels), "level int, size string, shape string"),
     _PG + " SELECT level, CASE WHEN b >= 1048576 THEN format('{:.1f} MiB', b / 1048576.0::DOUBLE) ELSE format('{:.1f} KiB', b / 1024.0::DOUBLE) END AS size, CASE WHEN ny = nx THEN ny || '²' ELSE ny || '×' || nx END AS shape FROM (SELECT *, CAST(ny AS BIGINT) * nx * 4 AS b FROM p)")
+
+
+def frame_sample(spark: SparkSession, sf: str) -> DataFrame:
+    """The values of the first year at the finest level, thinned to some thousands."""
+    p = stored_ship(spark, sf)
+    year = min(p.doc["grid"]["extra"]["yr"])
+    found = lookup.frame_values([(p.level(v.index), v.shape) for v in p.plan.levels], {"yr": year}, most=5000)
+    return found.where("price is not null").select("row", "col", "price")
+
+
+register("frame_sample", frame_sample, f"""WITH n AS (SELECT max(l_suppkey) + 1 AS ny, max(dayofyear(l_shipdate)) AS nx FROM lineitem), s AS (SELECT min(k) AS k FROM n, (SELECT unnest(range(1, 200)) AS k) WHERE ceil(ny / k) * ceil(nx / k) <= 5000)
+SELECT row, col, price FROM ({SHIP}), s WHERE yr = (SELECT min(year(l_shipdate)) FROM lineitem) AND row % k = 0 AND col % k = 0""")

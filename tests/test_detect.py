@@ -6,7 +6,7 @@ import math
 import numpy as np
 import pytest
 
-from tessera.crs import parse
+from tessera.crs import Crs, parse
 from tessera.grid import GridError, Raster, check_regular, declared_fill, detect, effective_fill, grid_step, sentinel
 
 
@@ -105,3 +105,11 @@ def test_crs_registry():
     for bad in ("EPSG:1", "nonsense"):
         with pytest.raises(ValueError):
             parse(bad)
+
+
+@pytest.mark.parametrize("code", [4326, 4258, 4269, 3857, 3031, 3413, 3995, 32661, 32761, 6931, 6932, 6933, 3035, 3034, 5070, 3338, 32632, 32733, 25832, 26910])
+def test_registry_texts_close_their_brackets_and_name_their_code(code):
+    c = parse(code)
+    assert parse(c.wkt) == Crs(c.code, c.wkt, c.geographic) and c.code == f"EPSG:{code}" and c.geographic == (code in (4326, 4258, 4269))
+    assert c.wkt.count("[") == c.wkt.count("]") and c.wkt.count('"') % 2 == 0 and c.proj4.startswith("+proj=")
+    assert parse(f"epsg:{code}") == c

@@ -183,6 +183,7 @@ def test_command_line(spark, tmp_path, capsys):
     assert cli.main(["convert", str(tmp_path / "in"), str(tmp_path / "o"), "--crs", "EPSG:3031", "--resampling", "melt=max", "--fill-value", "mask=-1", "--tile-size", "8"]) == 0
     assert cli.main(["validate", str(tmp_path / "o")]) == 0
     assert cli.main(["preview", str(tmp_path / "o")]) == 0
+    assert cli.main(["preview", str(tmp_path / "o"), "--html", str(tmp_path / "o.html")]) == 0 and "<title>o</title>" in (tmp_path / "o.html").read_text()
     assert cli.main(["convert", str(tmp_path / "in"), str(tmp_path / "o"), "--crs", "EPSG:3031"]) == 2
     assert cli.main(["validate", str(tmp_path / "none")]) == 2
     assert cli.main(["plan", str(tmp_path / "in"), "--var", "nope"]) == 2
