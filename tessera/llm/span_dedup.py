@@ -7,7 +7,8 @@ a row, so that its parts have ``WINDOW`` words at most and a passage is cut alik
 is hashed to 128 bits. So a verbatim passage within long sentences shares a run from ``min_words + 3 * WINDOW - 2``
 words on (50 as set), at any offset; what is left of it are ends of less than ``2 * WINDOW`` words. A passage whose ends lie in sentences of ``UNIT_WORDS`` or less
 loses up to ``UNIT_WORDS - 1`` words there, as those are only compared whole.
-Runs are joined globally; a sentence goes if a run that holds it stands at an earlier place
+Texts are cut and hashed once, into a written table. Runs are joined globally: halves of their hashes tell which may
+repeat, and only those are looked at further. A sentence goes if a run that holds it stands at an earlier place
 (by document id, then text hash, then sentence) too.
 
 Defined cases: a null text stays null; empty and short texts stay as they are; null ids come first in the order of
@@ -26,9 +27,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import batches_by_bytes, mix64, row_key, written
+from .common import batches_by_bytes, free, mix64, row_key, written
 
 UNIT_WORDS, WINDOW = 16, 9
+#: The table of repeated runs' slots has 2**27 bits (16 MB) at most.
+MAX_SLOTS = 27
 #: Any would do; with this one the 18-word sentence of the tests has two parts, as it had before.
 SEED = 70
 _SENTENCE = re.compile(r"\s*(?:\S*[^\s.!?][^\S\n]+)*\S+\s*")
@@ -45,11 +48,26 @@ def words_of(text: str) -> list[str]:
     return (_CLOSE_WORD if _HAS_CLOSE.search(text) else _WORD).findall(text)
 
 
+class _WordHashes(dict):
+    """Hashes of words with the space around them; frequent ones are looked up."""
+
+    def __missing__(self, word: str) -> int:
+        import xxhash
+
+        found = xxhash.xxh3_64_intdigest(word.strip(), SEED)
+        if len(word) <= 64:
+            if len(self) >= 1 << 18:
+                self.clear()
+            self[word] = found
+        return found
+
+
+_hashes = _WordHashes()
+
+
 def cuts(words: list[str], owner: np.ndarray) -> np.ndarray:
     """Whether a cut comes behind each word; ``owner`` is the number of its sentence, of ``WINDOW`` words or more."""
-    import xxhash
-
-    h = np.array([xxhash.xxh3_64_intdigest(w.strip(), SEED) for w in words], np.uint64)
+    h = np.fromiter(map(_hashes.__getitem__, words), np.uint64, len(words))
     n = len(h) - WINDOW + 1
     least = h[:n]
     for k in range(1, WINDOW):
@@ -127,11 +145,35 @@ def spans(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_sen
     return row_key(df, id_col, text_col).select("_k1", "_k2", F.col(text_col).alias("t")).mapInArrow(run, schema)
 
 
+def possibly_repeated(found: DataFrame) -> DataFrame:
+    """The runs that stand at several places, and a few others.
+
+    First halves of hashes alone are shuffled; those that repeat make a table of slots, whose size follows their number up to
+    ``2**MAX_SLOTS`` bits and which every run is held against. A run in such a slot by chance is only looked at for nothing.
+    """
+    twice = written(found.groupBy("h1").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("h1"), "twice")
+    bits = min(MAX_SLOTS, max(16, int(16 * twice.count()).bit_length()))
+    slot = F.shiftrightunsigned("h1", 64 - bits)
+    words = twice.groupBy(F.shiftright(slot, 6).alias("word")).agg(F.bit_or(F.call_function("shiftleft", F.lit(1).cast("long"), (slot % 64).cast("int"))).alias("bits")).toArrow()
+    table = np.zeros(1 << (bits - 6), np.int64)
+    table[words.column("word").to_numpy()] = words.column("bits").to_numpy()
+    free(twice)
+    shared = found.sparkSession.sparkContext.broadcast(table.view(np.uint64))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            place = batch.column("h1").to_numpy().view(np.uint64) >> np.uint64(64 - bits)
+            real = (shared.value[place >> np.uint64(6)] >> (place & np.uint64(63))) & np.uint64(1) == 1
+            yield batch.filter(pa.array(real))
+
+    return found.mapInArrow(run, found.schema)
+
+
 def later_spans(found: DataFrame) -> DataFrame:
     """The runs whose content stands at an earlier place too.
 
-    ``found`` is a written table: texts are cut and hashed once. First places are aggregated before the shuffle and written
-    too: the join then has a plain exchange on either side, and a run that a third of all documents hold is split at run time.
+    First places are aggregated before the shuffle and written too: the join then has a plain
+    exchange on either side, and a run that a third of all documents hold is split at run time.
     """
     place = F.struct("_k1", "_k2", "start")
     first = found.groupBy("h1", "h2").agg(F.min(place).alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1").select("h1", "h2", "first")
@@ -141,8 +183,10 @@ def later_spans(found: DataFrame) -> DataFrame:
 def dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_sentences: int = 3, min_words: int = 25) -> DataFrame:
     """``df`` with the text that is left, ``n_sentences`` (before), ``n_removed`` and ``removed`` (structs ``start, stop`` of sentences)."""
     made = {"n_sentences": T.LongType(), "n_removed": T.LongType(), "removed": T.ArrayType(T.StructType([T.StructField("start", T.IntegerType()), T.StructField("stop", T.IntegerType())]))}
-    later = later_spans(written(spans(df, id_col, text_col, min_sentences, min_words), "runs")).distinct()
-    per_doc = later.groupBy("_k1", "_k2").agg(F.collect_list(F.struct("start", "stop")).alias("_spans"))
+    found = written(spans(df, id_col, text_col, min_sentences, min_words), "runs")
+    later = later_spans(possibly_repeated(found)).distinct()
+    per_doc = written(later.groupBy("_k1", "_k2").agg(F.collect_list(F.struct("start", "stop")).alias("_spans")), "later")
+    free(found)
     kept = [c for c in df.columns if c not in made]
     out = row_key(df.select(kept), id_col, text_col).join(per_doc, ["_k1", "_k2"], "left").select(*kept, "_spans")
     schema = T.StructType([*(df.schema[c] for c in kept), *(T.StructField(k, v) for k, v in made.items())])
