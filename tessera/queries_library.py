@@ -451,7 +451,7 @@ register("store_names", lambda s, d: _rows(s, ((r.r_regionkey, store_name(f"s3:/
     "SELECT r_regionkey AS k, r_name AS name, 'https://maps.s3.amazonaws.com/' || replace(r_name, ' ', '%20') || '.zarr' AS url FROM region")
 register("bounds_close", lambda s, d: _rows(s, ((r.n_nationkey, close([r.n_nationkey, 1.0], [r.n_nationkey * (1 + 1e-10), 1.0]), close([float(r.n_nationkey)], [r.n_nationkey + 1e-6]), close([1.0], [1.0, 2.0])) for r in _read(s, d, "nation").collect()), "k int, near boolean, far boolean, longer boolean"),
     "SELECT n_nationkey AS k, true AS near, n_nationkey * 1e-9 >= 1e-6 AS far, false AS longer FROM nation")
-register("plan_text", lambda s, d: _rows(s, ((v.index, size_text(v.nbytes), dims_text(v.shape)) for v in _plan_grid(s, d).levels), "level int, size string, shape string"),
+register("plan_text", lambda s, d: _rows(s, ((v.index, size_text(v.nbytes, "KiB", "MiB"), dims_text(v.shape)) for v in _plan_grid(s, d).levels), "level int, size string, shape string"),
     _PG + " SELECT level, CASE WHEN b >= 1048576 THEN format('{:.1f} MiB', b / 1048576.0::DOUBLE) ELSE format('{:.1f} KiB', b / 1024.0::DOUBLE) END AS size, CASE WHEN ny = nx THEN ny || '²' ELSE ny || '×' || nx END AS shape FROM (SELECT *, CAST(ny AS BIGINT) * nx * 4 AS b FROM p)")
 
 

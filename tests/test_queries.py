@@ -36,6 +36,16 @@ def test_query(spark, duck, name):
     assert rows(got.select(columns).collect()) == rows(want.select(*columns).fetchall())
 
 
+@pytest.mark.parametrize("n,width", [(13107, 64), (13108, 64), (51282, 64), (120000, 64), (5000, 1), (320, 64)])
+def test_plan_text_of_other_sizes(spark, tmp_path, n, width):
+    """Levels from under 1 KiB to over 1 GiB: the plan needs the last row and the longest vector only."""
+    con = duckdb.connect()
+    con.sql(f"CREATE TABLE embeddings AS SELECT {n - 1}::BIGINT AS vec_id, list_transform(range({width}), lambda i: 0.5::FLOAT) AS embedding")
+    con.sql(f"COPY embeddings TO '{tmp_path}/embeddings.parquet'")
+    got, want = queries()["plan_text"](spark, str(tmp_path)), con.sql(oracle_sql()["plan_text"])
+    assert rows(got.collect()) == rows(want.select(*got.columns).fetchall())
+
+
 def test_entry(spark):
     import __spark_entry__
 
