@@ -7,7 +7,8 @@ a row, so that its parts have ``WINDOW`` words at most and a passage is cut alik
 is hashed to 128 bits. So a verbatim passage within long sentences shares a run from ``min_words + 3 * WINDOW - 2``
 words on (50 as set), at any offset; what is left of it are ends of less than ``2 * WINDOW`` words. A passage whose ends lie in sentences of ``UNIT_WORDS`` or less
 loses up to ``UNIT_WORDS - 1`` words there, as those are only compared whole.
-Texts are cut and hashed once, into a written table. Runs are joined globally: halves of their hashes tell which may
+Texts are cut and hashed once, into a written table of runs and of each text's sentence lengths, by which sentences are
+taken out later. Runs are joined globally: halves of their hashes tell which may
 repeat, and only those are looked at further. A sentence goes if a run that holds it stands at an earlier place
 (by document id, then text hash, then sentence) too.
 
@@ -49,12 +50,12 @@ def words_of(text: str) -> list[str]:
 
 
 class _WordHashes(dict):
-    """Hashes of words with the space around them; frequent ones are looked up."""
+    """Hashes of words; frequent ones are looked up."""
 
     def __missing__(self, word: str) -> int:
         import xxhash
 
-        found = xxhash.xxh3_64_intdigest(word.strip(), SEED)
+        found = xxhash.xxh3_64_intdigest(word, SEED)
         if len(word) <= 64:
             if len(self) >= 1 << 18:
                 self.clear()
@@ -80,27 +81,51 @@ def cuts(words: list[str], owner: np.ndarray) -> np.ndarray:
     return around == h
 
 
-def sentences(text: str) -> list[str]:
-    """The sentences with the white space around them: joined, they are the text (unless it is blank)."""
-    whole, least = _SENTENCE.findall(text), 2 * UNIT_WORDS
+def ends(text: str) -> np.ndarray:
+    """The places in the text where its sentences end, white space behind them included; none if it is blank."""
+    whole, least, close = _SENTENCE.findall(text), 2 * UNIT_WORDS, False
     if not text.isascii():
-        whole, least = [p for s in whole for p in _STOP.split(s)], UNIT_WORDS
-    split = {k: w for k, s in enumerate(whole) if len(s) > least and len(w := words_of(s)) > UNIT_WORDS}
+        whole, least, close = [p for s in whole for p in _STOP.split(s)], UNIT_WORDS, bool(_HAS_CLOSE.search(text))
+    if close:
+        split = {k: [x.strip() for x in w] for k, s in enumerate(whole) if len(s) > least and len(w := words_of(s)) > UNIT_WORDS}
+    else:
+        split = {k: w for k, s in enumerate(whole) if len(s) > least and len(w := s.split()) > UNIT_WORDS}
+    stop = np.cumsum(np.fromiter(map(len, whole), np.int64, len(whole)))
     if not split:
-        return whole
-    size = [len(w) for w in split.values()]
-    behind = cuts([x for w in split.values() for x in w], np.repeat(np.arange(len(size)), size))
-    behind[np.cumsum(size) - 1] = True
-    ends, at, nth, out = (np.flatnonzero(behind) + 1).tolist(), 0, 0, []
-    for k, s in enumerate(whole):
-        if k not in split:
-            out.append(s)
-            continue
-        words, base = split[k], at
-        while at < base + len(words):
-            out.append("".join(words[at - base : ends[nth] - base]))
-            at, nth = ends[nth], nth + 1
-    return out
+        return stop
+    which, words = np.fromiter(split, np.int64, len(split)), [x for w in split.values() for x in w]
+    size = np.fromiter(map(len, split.values()), np.int64, len(split))
+    last, lead = np.cumsum(size) - 1, np.array([len(s) - len(s.lstrip()) for s in map(whole.__getitem__, split)])
+    behind = cuts(words, np.repeat(np.arange(len(size)), size))
+    # right where one character of white space parts all words of a sentence; those of others are measured
+    width = np.cumsum(np.fromiter(map(len, words), np.int64, len(words)) + 1)
+    begin = stop[which] - np.fromiter((len(whole[k]) for k in split), np.int64, len(split))
+    at = width + np.repeat(begin + lead - np.concatenate([[0], width[last[:-1]]]), size)
+    for i in np.flatnonzero(close | (at[last] - 1 != begin + [len(whole[k].rstrip()) for k in split])).tolist():
+        at[last[i] + 1 - size[i] : last[i] + 1] = begin[i] + np.cumsum([len(w) for w in words_of(whole[which[i]])])
+    behind[last] = False
+    return np.sort(np.concatenate([stop, at[behind]]))
+
+
+def sentences(text: str) -> list[str]:
+    """The sentences with the white space around them: joined, they are the text (unless it is blank)."""
+    return pieces_of(text, ends(text))
+
+
+def pieces_of(text: str, stop: np.ndarray) -> list[str]:
+    stops = stop.tolist()
+    return [text[a:b] for a, b in zip([0, *stops], stops)]
+
+
+def packed(stop: np.ndarray) -> bytes:
+    """The lengths of the sentences in as few bytes each as the longest one takes; see ``unpacked``."""
+    size = np.diff(stop, prepend=0)
+    return size.astype(np.min_scalar_type(int(size.max(initial=0))).newbyteorder("<")).tobytes()
+
+
+def unpacked(sizes: bytes, n: int) -> np.ndarray:
+    """The ``n`` + 1 places where sentences begin or end."""
+    return np.concatenate([[0], np.cumsum(np.frombuffer(sizes, f"<u{len(sizes) // n}"), dtype=np.int64)])
 
 
 def runs(units: list[str], min_sentences: int, min_words: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -109,12 +134,13 @@ def runs(units: list[str], min_sentences: int, min_words: int) -> tuple[np.ndarr
 
     n = len(units)
     whole = [u.strip() for u in units]
-    counts = np.cumsum([0, *(len(u.split()) if u.isascii() or not _HAS_CLOSE.search(u) else len(words_of(u)) for u in whole)])
+    words = [words_of(u) for u in whole] if _HAS_CLOSE.search("".join(whole)) else map(str.split, whole)
+    counts = np.concatenate([[0], np.cumsum(np.fromiter(map(len, words), np.int64, n))])
     start = np.arange(n)
     end = np.maximum(np.searchsorted(counts, counts[:-1] + min_words), start + min_sentences)
     start = start[end <= n]
     end = end[: len(start)]
-    h = np.array([xxhash.xxh3_64_intdigest(u) for u in whole], np.uint64)
+    h = np.fromiter(map(xxhash.xxh3_64_intdigest, whole), np.uint64, n)
     # a polynomial in an odd base over the sentences' hashes, told apart by how long the run is
     out = []
     for base in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F):
@@ -127,20 +153,26 @@ def runs(units: list[str], min_sentences: int, min_words: int) -> tuple[np.ndarr
 
 
 def spans(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_sentences: int = 3, min_words: int = 25) -> DataFrame:
-    """``_k1, _k2, start, stop, h1, h2`` of every run of sentences (``stop`` included)."""
-    schema = "_k1 long, _k2 long, start int, stop int, h1 long, h2 long"
+    """``_k1, _k2, start, stop, h1, h2`` of every run of sentences (``stop`` included), and a row a text: ``stop`` is the
+    number of its sentences and ``sizes`` their ``packed`` lengths, null in other rows; ``start``, ``h1`` and ``h2`` are null."""
+    schema = "_k1 long, _k2 long, start int, stop int, h1 long, h2 long, sizes binary"
     names, kinds = ["_k1", "_k2", "start", "stop", "h1", "h2"], [pa.int64()] * 2 + [pa.int32()] * 2 + [pa.int64()] * 2
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in batches_by_bytes(batches, "t", 2 << 20):
-            k1, k2, rows = part.column("_k1").to_numpy(), part.column("_k2").to_numpy(), []
+            k1, k2, rows, n, sizes = part.column("_k1").to_numpy(), part.column("_k2").to_numpy(), [], [], []
             for i, text in enumerate(part.column("t").to_pylist()):
-                units = sentences(text or "")
-                if len(units) >= min_sentences:
-                    start, stop, h1, h2 = runs(units, min_sentences, min_words)
-                    rows.append((np.full(len(start), k1[i]), np.full(len(start), k2[i]), start.astype(np.int32), stop.astype(np.int32), h1, h2))
+                stop = ends(text or "")
+                n.append(len(stop))
+                sizes.append(packed(stop))
+                if len(stop) >= min_sentences:
+                    start, last, h1, h2 = runs(pieces_of(text, stop), min_sentences, min_words)
+                    rows.append((np.full(len(start), k1[i]), np.full(len(start), k2[i]), start.astype(np.int32), last.astype(np.int32), h1, h2))
+            none = [pa.nulls(len(n), k) for k in kinds]
+            yield pa.RecordBatch.from_arrays([part.column("_k1"), part.column("_k2"), none[2], pa.array(n, pa.int32()), *none[4:], pa.array(sizes, pa.binary())], names=[*names, "sizes"])
             if rows:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c), k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], names=names)
+                cols = [pa.array(np.concatenate(c), k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)]
+                yield pa.RecordBatch.from_arrays([*cols, pa.nulls(len(cols[0]), pa.binary())], names=[*names, "sizes"])
 
     return row_key(df, id_col, text_col).select("_k1", "_k2", F.col(text_col).alias("t")).mapInArrow(run, schema)
 
@@ -184,31 +216,34 @@ def dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_sen
     """``df`` with the text that is left, ``n_sentences`` (before), ``n_removed`` and ``removed`` (structs ``start, stop`` of sentences)."""
     made = {"n_sentences": T.LongType(), "n_removed": T.LongType(), "removed": T.ArrayType(T.StructType([T.StructField("start", T.IntegerType()), T.StructField("stop", T.IntegerType())]))}
     found = written(spans(df, id_col, text_col, min_sentences, min_words), "runs")
-    later = later_spans(possibly_repeated(found)).distinct()
-    per_doc = written(later.groupBy("_k1", "_k2").agg(F.collect_list(F.struct("start", "stop")).alias("_spans")), "later")
+    later = later_spans(possibly_repeated(found.where("h1 is not null").drop("sizes"))).distinct()
+    marks = later.select("_k1", "_k2", F.struct("start", "stop").alias("s"), F.lit(None).cast("int").alias("n"), F.lit(None).cast("binary").alias("sizes"))
+    texts = found.where("h1 is null").select("_k1", "_k2", F.lit(None).cast(marks.schema["s"].dataType).alias("s"), F.col("stop").alias("n"), "sizes")
+    per_doc = marks.unionByName(texts).groupBy("_k1", "_k2").agg(F.collect_list("s").alias("_spans"), F.max("n").cast("long").alias("_n"), F.first("sizes", ignorenulls=True).alias("_sizes"))
+    per_doc = written(per_doc.withColumn("_sizes", F.when(F.size("_spans") > 0, F.col("_sizes"))), "later")
     free(found)
     kept = [c for c in df.columns if c not in made]
-    out = row_key(df.select(kept), id_col, text_col).join(per_doc, ["_k1", "_k2"], "left").select(*kept, "_spans")
+    out = row_key(df.select(kept), id_col, text_col).join(per_doc, ["_k1", "_k2"], "left").select(*kept, "_spans", "_n", "_sizes")
     schema = T.StructType([*(df.schema[c] for c in kept), *(T.StructField(k, v) for k, v in made.items())])
     kinds = {"n_sentences": pa.int64(), "n_removed": pa.int64(), "removed": pa.list_(pa.struct([("start", pa.int32()), ("stop", pa.int32())]))}
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in batches_by_bytes(batches, text_col):
-            texts, n, gone, pieces = part.column(text_col).to_pylist(), [], [], []
-            for i, found in enumerate(part.column("_spans").to_pylist()):
-                units = sentences(texts[i] or "")
-                n.append(len(units))
-                mark = np.zeros(len(units) + 1, np.int64)
-                for s in found or ():
-                    mark[s["start"]] += 1
-                    mark[s["stop"] + 1] -= 1
-                covered = np.cumsum(mark)[:-1] > 0
-                gone.append(int(covered.sum()))
-                if found:
-                    texts[i] = "".join(u for u, c in zip(units, covered, strict=True) if not c)
-                edges = np.flatnonzero(np.diff(np.concatenate([[False], covered, [False]]).astype(np.int8)))
-                pieces.append([{"start": int(a), "stop": int(b) - 1} for a, b in edges.reshape(-1, 2)])
+            texts, n, sizes, spans = part.column(text_col).to_pylist(), part.column("_n"), part.column("_sizes"), part.column("_spans")
+            gone, pieces, at = [0] * len(texts), [[] for _ in texts], spans.offsets.to_numpy()
+            starts, stops = (x.to_numpy() for x in spans.values.flatten())
+            for i in np.flatnonzero(np.diff(at)).tolist():
+                size = n[i].as_py()
+                mark = np.zeros(size + 1, np.int64)
+                np.add.at(mark, starts[at[i] : at[i + 1]], 1)
+                np.subtract.at(mark, stops[at[i] : at[i + 1]] + 1, 1)
+                covered = np.cumsum(mark) > 0
+                gone[i] = int(covered.sum())
+                edges = np.flatnonzero(np.diff(covered.astype(np.int8), prepend=0)).reshape(-1, 2)
+                place = unpacked(sizes[i].as_py(), size)[edges].ravel().tolist()
+                texts[i] = "".join([texts[i][a:b] for a, b in zip([0, *place[1::2]], [*place[::2], None], strict=True)])
+                pieces[i] = [{"start": a, "stop": b - 1} for a, b in edges.tolist()]
             cols = [pa.array(texts, pa.string()) if c == text_col else part.column(c) for c in kept]
-            yield pa.RecordBatch.from_arrays([*cols, *(pa.array(v, k) for v, k in zip((n, gone, pieces), kinds.values(), strict=True))], names=[*kept, *made])
+            yield pa.RecordBatch.from_arrays([*cols, n, *(pa.array(v, kinds[k]) for k, v in (("n_removed", gone), ("removed", pieces)))], names=[*kept, *made])
 
     return out.mapInArrow(run, schema)

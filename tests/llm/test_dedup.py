@@ -1,6 +1,8 @@
 import random
 import re
 
+import numpy as np
+
 from tessera.llm import line_dedup, span_dedup
 
 PASSAGE = "The first sentence of this passage is here. It goes on for a while with some more words to say. Then a third one comes along and says even more about it. And a fourth to be sure that there are over fifty words in it all told, or nearly."
@@ -124,3 +126,31 @@ def test_passages_in_unpunctuated_text_go_at_every_offset(spark):
         for i in range(16):
             left = got[100 * k + 1 + i].split()
             assert sum(w in set(p) for w in left) <= max(25, len(p) - 25) and sum(w not in set(p) for w in left) == 45 + i
+
+
+def test_texts_are_cut_only_once(spark, monkeypatch):
+    rows = [(1, f"Intro one. {PASSAGE} Outro."), (2, f"Other  text.\n{PASSAGE}\nThe end of it."), (2, f"Other  text.\n{PASSAGE}\nThe end of it."), (3, "Short."), (4, None), (5, " \n"), (None, f"{PASSAGE} {'😀' * 300}. A. B.")]
+    docs, passes = spark.createDataFrame(rows, "doc_id long, text string"), []
+    plain = type(docs).mapInArrow
+    monkeypatch.setattr(type(docs), "mapInArrow", lambda self, f, schema: passes.append((self, f)) or plain(self, f, schema))
+    span_dedup.dedup(docs)
+    table, last = passes[-1]
+    batches = table.toArrow().to_batches()
+    monkeypatch.setattr(span_dedup, "_SENTENCE", None)  # cutting fails from here on
+    got = [r for b in last(iter(batches)) for r in b.to_pylist()]
+    left = sorted((r["doc_id"] or 0, r["n_sentences"], r["text"], [(x["start"], x["stop"]) for x in r["removed"]]) for r in got if r["text"] is not None)
+    assert left == [(0, 8, rows[6][1], []), (1, 7, "Intro one. Outro.", [(1, 5)]), *[(2, 7, "Other  text.\nThe end of it.", [(1, 5)])] * 2, (3, 1, "Short.", []), (5, 0, " \n", [])]
+    assert [(r["n_sentences"], r["n_removed"], r["removed"]) for r in got if r["text"] is None] == [(0, 0, [])]
+
+
+def test_places_of_sentences_with_odd_space():
+    rng = random.Random(9)
+    for k in range(400):
+        words = [rng.choice(["a", "bcd", "e.", "3.5", "é", "x" * 300] + ["漢字", "。", "ถนน"] * (k % 2)) for _ in range(rng.randrange(90))]
+        text = rng.choice(["", " \n "]) + "".join(w + rng.choice([" ", " ", " ", "  ", "\t", "\x1f", "　 ", "\n"][: 3 if k % 3 else 8] + [""] * (k % 2)) for w in words)
+        units, stop = span_dedup.sentences(text), span_dedup.ends(text)
+        assert "".join(units) == (text if text.strip() else "") and all(u.strip() and len(span_dedup.words_of(u)) <= span_dedup.UNIT_WORDS for u in units)
+        assert all(u[-1].isspace() or not v[0].isspace() for u, v in zip(units, units[1:]))
+        assert not units or span_dedup.unpacked(span_dedup.packed(stop), len(units)).tolist() == [0, *stop.tolist()]
+    for long in (255, 256, 65535, 65536):
+        assert span_dedup.unpacked(span_dedup.packed(np.array([1, 1 + long])), 2).tolist() == [0, 1, 1 + long]
